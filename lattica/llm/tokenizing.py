@@ -2,7 +2,7 @@
 
 Both vocabularies split a text before they merge, and never across the chunk boundaries used here, so the ids of a
 text are those of its chunks in a row. A worker keeps the ids of the chunks it has met (up to ``max_chunks``, then it
-starts afresh), which saves most of the merging: words repeat far more often than texts.
+starts afresh: some 200 MB), which saves most of the merging: words repeat far more often than texts.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, pattern: str, max_chunks: int = 400_000):
+    def __init__(self, path: str, pattern: str, max_chunks: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -31,26 +31,51 @@ class ChunkEncoder:
         self.library.encode_special_tokens = True  # a text that spells a special token is still ordinary text
         self.find = re.compile(pattern).findall
         self.max_chunks = max_chunks
+        # between chunks that begin with a blank a line feed is a token, between others a control character with blanks around it
+        self.separator = "\n" if pattern == LEADING_BLANK else " \x01 "
+        got = self.library.encode(self.separator, add_special_tokens=False).ids
+        self.separator_id = got[0] if len(got) == 1 else None
         self.forget()
 
+    def joinable(self, chunk: str) -> bool:
+        """Whether a separator beside the chunk leaves its ids as they are."""
+        if self.separator_id is None or UNUSUAL.search(chunk):
+            return False
+        return chunk[0] == " " and len(chunk) > 1 and "\n" not in chunk and chunk[1] != " " if self.separator == "\n" else "\x01" not in chunk
+
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
     def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 512):
-            some = chunks[at : at + 512]
-            for chunk, got in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = got.ids
-                slot, end = len(self.slots), self.used + len(ids)
-                while end > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if slot >= len(self.starts):
-                    self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                    self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-                self.flat[self.used : end] = ids
-                self.slots[chunk], self.starts[slot], self.lengths[slot], self.used = slot, self.used, len(ids), end
+        """Encodes new chunks, many in one text with a separator in between where the separator stays a token of its own."""
+        plain = [c for c in chunks if self.joinable(c)]
+        for at in range(0, len(plain), 1024):
+            some = plain[at : at + 1024]
+            ids = np.array(self.library.encode_batch_fast([self.separator.join([*some, ""])], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(ids == self.separator_id)
+            if len(ends) != len(some):
+                raise RuntimeError("a separator was merged with a chunk")
+            self._keep(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        others = [c for c in chunks if not self.joinable(c)]
+        for at in range(0, len(others), 512):
+            some = others[at : at + 512]
+            lists = [got.ids for got in self.library.encode_batch_fast(some, add_special_tokens=False)]
+            self._keep(some, np.array([i for ids in lists for i in ids], np.int32), np.array([len(ids) for ids in lists]))
+
+    def _keep(self, chunks: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        slot, end = len(self.slots), self.used + len(ids)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while slot + len(chunks) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.flat[self.used : end] = ids
+        self.lengths[slot : slot + len(chunks)] = lengths
+        self.starts[slot : slot + len(chunks)] = self.used + np.cumsum(lengths) - lengths
+        self.slots.update(zip(chunks, range(slot, slot + len(chunks)), strict=True))
+        self.used = end
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (int32), and how many each text has."""
