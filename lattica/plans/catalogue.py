@@ -326,7 +326,7 @@ ROLLS = {"rollmean": "avg(value)", "rollsum": "sum(value)", "rollmin": "min(valu
 FRAMES = {"right": "2 PRECEDING AND CURRENT ROW", "left": "CURRENT ROW AND 2 FOLLOWING", "center": "1 PRECEDING AND 1 FOLLOWING"}
 for (fun, agg), align in zip(ROLLS.items(), ["right", "left", "center"] * 3, strict=False):
     w = f"(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {FRAMES[align]})"
-    add(fun, lambda t, f=fun, a=align: holed(t).select("event_id", F.round(getattr(windows, f)("value", 3, a, **AT), 2).alias("strict"), F.round(getattr(windows, f)("value", 3, a, partial=True, na_rm=True, **AT), 2).alias("loose")), f"SELECT event_id, round(CASE WHEN count(*) OVER w = 3 AND count(value) OVER w = 3 THEN {agg} OVER w END, 2) AS strict, round({agg} OVER w, 2) AS loose FROM {HOLED_SQL} WINDOW w AS {w}".replace("round(product(value) OVER w, 2) AS loose", "round(coalesce(product(value) OVER w, 1), 2) AS loose"))
+    add(fun, lambda t, f=fun, a=align: holed(t).select("event_id", F.round(getattr(windows, f)("value", 3, a, **AT), 6).alias("strict"), F.round(getattr(windows, f)("value", 3, a, partial=True, na_rm=True, **AT), 6).alias("loose")), f"SELECT event_id, round(CASE WHEN count(*) OVER w = 3 AND count(value) OVER w = 3 THEN {agg} OVER w END, 6) AS strict, round({agg} OVER w, 6) AS loose FROM {HOLED_SQL} WINDOW w AS {w}".replace("round(product(value) OVER w, 6) AS loose", "round(coalesce(product(value) OVER w, 1), 6) AS loose"))
 add("rollapply", lambda t: t.events.select("event_id", F.round(windows.rollapply("value", 4, lambda a: F.array_max(a) - F.array_min(a), **AT), 6).alias("v")), "SELECT event_id, round(CASE WHEN count(*) OVER w = 4 THEN max(value) OVER w - min(value) OVER w END, 6) AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)")
 
 # --- numbers --------------------------------------------------------------------------------------------------------
