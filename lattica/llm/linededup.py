@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import staged
+from lattica.llm.common import discard, staged
 
 BUCKETS = 8192
 #: The most rows that are broadcast, of three numbers each; beyond it a shuffle takes over.
@@ -75,8 +75,9 @@ def _possible(n: Column, i: Column, m: Column, j: Column, tenths: int) -> Column
 
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose sets are similar enough."""
-    one = sets.select(F.col("h1").alias("x"), F.col("tokens").alias("xs"))
-    two = sets.select(F.col("h1").alias("y"), F.col("tokens").alias("ys"))
+    # a class occurs once in the sets: hashing them spares the sorts of a merge join
+    one = sets.select(F.col("h1").alias("x"), F.col("tokens").alias("xs")).hint("shuffle_hash")
+    two = sets.select(F.col("h1").alias("y"), F.col("tokens").alias("ys")).hint("shuffle_hash")
     both = pairs.join(one, "x").join(two, "y")
     shared = F.size(F.array_intersect("xs", "ys"))
     return both.filter(shared * (10 + tenths) >= (F.size("xs") + F.size("ys")) * tenths).select("x", "y")
@@ -119,7 +120,7 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     key = source["h1"] == at["h1"]
     same = key & source["doc_id"].eqNullSafe(at["doc_id"]) & (source["copy"] == at["copy"]) & (source["line_no"] == at["line_no"])
     picked = source.join(F.broadcast(at) if number <= BROADCAST_ROWS else at, same, "left_semi")
-    sets = staged(picked.dropDuplicates(["h1"]).select("h1", token_set(F.col("line"), levels, shingle).alias("tokens")), "sets")
+    sets = staged(picked.select("h1", token_set(F.col("line"), levels, shingle).alias("tokens")), "sets")
 
     firsts = wanted.select("h1", "first")
 
@@ -140,6 +141,7 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
 
     state = classes.join(similar.withColumn("similar", F.lit(True)), "h1", "left").select("h1", "h2", "first", F.coalesce("similar", F.lit(False)).alias("similar"), "copies")
     state = staged(state.filter("similar or copies > 1"), "state")
+    discard(lists, best, wanted, sets, settled, entries, rest)
     frequent = state.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi")
     common = lines.join(F.broadcast(frequent), ["h1", "h2"])
     seldom = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(state, ["h1", "h2"])
@@ -156,6 +158,7 @@ def dedup_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> DataFr
     if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns with names of results: {', '.join(sorted(clash))}")
     gone = removed_lines(docs.select("doc_id", "text"), tenths=tenths, shingle=shingle).select(F.col("doc_id").alias("_doc_id"), F.col("copy").alias("_copy"), F.col("gone").alias("_gone"))
+    gone = staged(gone, "gone").hint("shuffle_hash")  # a row for each document that loses lines, small beside the texts, which needn't be sorted then
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_copy")), "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
