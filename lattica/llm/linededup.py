@@ -134,8 +134,11 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     entries = lists.select(F.explode(F.array(F.struct("token", "h1", "n", "i"), F.struct("token", "leader.h1", "leader.n", "leader.i"))).alias("e")).select("e.*").distinct()
     entries = staged(entries.join(firsts, "h1"), "entries")
     open_rows = entries.join(settled, "h1", "left_anti").select("token", F.col("h1").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("fy"))
-    pairs = open_rows.join(entries, "token").filter((F.col("first") < F.col("fy")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), tenths))
-    pairs = pairs.select(F.col("h1").alias("x"), "y").distinct().join(best, ["x", "y"], "left_anti")
+    pairs = open_rows.join(entries, "token").filter((F.col("first") < F.col("fy")) & _within(F.col("n"), F.col("m"), tenths))
+    # all common tokens of the two prefixes count, and after the last of them no more can follow than either set has left
+    pairs = pairs.groupBy(F.col("h1").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
+    pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _needed(F.col("n"), F.col("m"), tenths))
+    pairs = pairs.select("x", "y").join(best, ["x", "y"], "left_anti")
     rest = staged(later(_verified(pairs, sets, tenths)), "rest")
     similar = settled.unionByName(rest).distinct()
 
