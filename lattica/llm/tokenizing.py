@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -19,6 +20,9 @@ NO_BLANK = r"[^ \t\n\r]+"
 #: White space on which regular expression libraries differ; texts that hold any are encoded in one piece.
 UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
+#: White space that plain splits wouldn't do justice to, and the character that they use.
+INTRICATE = re.compile(r"\s\s|[\t\r\x0b\x0c\0]")
+
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -30,6 +34,7 @@ class ChunkEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # a text that spells a special token is still ordinary text
         self.find = re.compile(pattern).findall
+        self.split = self._split_leading if pattern == LEADING_BLANK else str.split if pattern == NO_BLANK else self.find
         self.max_chunks = max_chunks
         # between chunks that begin with a blank a line feed is a token, between others a control character with blanks around it
         self.separator = "\n" if pattern == LEADING_BLANK else " \x01 "
@@ -43,6 +48,13 @@ class ChunkEncoder:
             return False
         return chunk[0] == " " and len(chunk) > 1 and "\n" not in chunk and chunk[1] != " " if self.separator == "\n" else "\x01" not in chunk
 
+    def _split_leading(self, text: str) -> list[str]:
+        """The chunks of ``LEADING_BLANK``; where single blanks and line feeds are all the white space, by plain splits."""
+        if INTRICATE.search(text):
+            return self.find(text)
+        found = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        return found[not found[0] : len(found) - (not found[-1])] if len(found) > 1 else found if text else []
+
     def forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -84,12 +96,14 @@ class ChunkEncoder:
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            found = [text] if UNUSUAL.search(text) else self.find(text)
+            found = [text] if UNUSUAL.search(text) else self.split(text)
             counts[i] = len(found)
             chunks += found
-        if missing := set(chunks).difference(self.slots):
-            self._learn(list(missing))
-        slots = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
+        slots = np.fromiter(map(self.slots.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(chunks[i] for i in missing)))
+            slots[missing] = [self.slots[chunks[i]] for i in missing]
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
