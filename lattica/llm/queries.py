@@ -75,12 +75,12 @@ ORACLES = {
                    '<|im_start|>' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system' ELSE 'user name=' || r.role END || chr(10) AS head
             FROM rows_ r JOIN speakers s ON r.conv_id = s.conv_id),
         placed AS (
-            SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS at
+            SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_at
             FROM shown)
         SELECT conv_id, perspective, segment, count(*) AS n_turns, count(*) FILTER (own) AS n_assistant,
                CAST(coalesce(sum(length(text)) FILTER (own), 0) AS BIGINT) AS n_masked,
                string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS text,
-               coalesce(string_agg(CAST(CAST(at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(at + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own), '') AS mask_spans
+               coalesce(string_agg(CAST(CAST(begin_at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(begin_at + length(text) AS BIGINT) AS VARCHAR), ',' ORDER BY k) FILTER (own), '') AS mask_spans
         FROM placed GROUP BY conv_id, perspective, segment
     """,
     "op6_top_k": """
@@ -94,4 +94,29 @@ ORACLES = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op10_line_dedup": """
+        WITH texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        places AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM texts),
+        all_lines AS (
+            SELECT doc_id, k, lines[k] AS line, list_filter(string_split(lines[k], ' '), lambda w: w <> '') AS words FROM places),
+        classes AS (
+            SELECT line, any_value(words) AS words, min({'doc_id': doc_id, 'k': k}) AS first FROM all_lines WHERE len(words) > 0 GROUP BY line),
+        tokens AS (
+            SELECT DISTINCT line, first, unnest(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS token
+            FROM classes),
+        sizes AS (SELECT line, count(*) AS n FROM tokens GROUP BY line),
+        shared AS (
+            SELECT x.line AS earlier, y.line AS later, count(*) AS o
+            FROM tokens x JOIN tokens y ON x.token = y.token AND x.first < y.first GROUP BY ALL),
+        near AS (
+            SELECT DISTINCT later AS line FROM shared s JOIN sizes a ON a.line = s.earlier JOIN sizes b ON b.line = s.later
+            WHERE 10 * o >= 8 * (a.n + b.n - o)),
+        judged AS (
+            SELECT l.doc_id, l.k, l.line, coalesce(len(l.words) > 0 AND (m.line IS NOT NULL OR c.first <> {'doc_id': l.doc_id, 'k': l.k}), false) AS gone
+            FROM all_lines l LEFT JOIN classes c ON c.line = l.line LEFT JOIN near m ON m.line = l.line)
+        SELECT t.doc_id, CAST(count(j.k) AS BIGINT) AS n_lines, CAST(count(*) FILTER (j.gone) AS BIGINT) AS n_removed,
+               CASE WHEN any_value(t.text) IS NOT NULL THEN coalesce(string_agg(j.line, chr(10) ORDER BY j.k) FILTER (NOT j.gone), '') END AS text
+        FROM texts t LEFT JOIN judged j ON j.doc_id = t.doc_id GROUP BY t.doc_id
+    """,
 }
