@@ -93,7 +93,7 @@ def learn_lexicon(sample: DataFrame, *, least: int = 3, most: int = 400, weight:
     totals = sample.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("other")).first()
     counts = sample.select("text", "toxic").mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (totals["toxic"] + 1)) - F.log((F.col("other") + 0.5) / (totals["other"] + 1))
-    counts = counts.filter(F.col("toxic") >= max(least, totals["toxic"] // 200)).withColumn("odds", odds).filter(F.col("odds") >= weight)
+    counts = counts.filter(F.col("toxic") >= max(least, totals["toxic"] // 100)).withColumn("odds", odds).filter(F.col("odds") >= weight)
     lexicon: dict[str, float] = {}
     for kind in (F.col("term").endswith("-"), ~F.col("term").endswith("-")):
         lexicon |= {r["term"]: r["odds"] for r in counts.filter(kind).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(most).collect()}
@@ -113,15 +113,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 400
     picked = [marks.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for t in (0, 1)]
     # two times max_per_class rows of two numbers at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    sample = staged(texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id"), "labelled")
-    lexicon = learn_lexicon(sample)
+    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    sample = staged(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))), "labelled")
+    lexicon = learn_lexicon(sample.filter("fold > 0"))  # the calibration fold tells nothing, or it would be too sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t, lexicon) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), batch.column("fold"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "toxic", "fold", "x"])
 
-    rows = sample.mapInArrow(run, "doc_id long, toxic int, x array<double>").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4))).orderBy("doc_id", "toxic", "x").collect()
+    rows = sample.mapInArrow(run, "doc_id long, toxic int, fold long, x array<double>").orderBy("doc_id", "toxic", "x").collect()
     y = np.array([r["toxic"] for r in rows], float)
     if min((y == 1).sum(), (y == 0).sum()) < min_per_class:
         return ToxicityModel(lexicon, None, np.zeros(1), np.zeros(1), prior)
