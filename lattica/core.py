@@ -127,19 +127,42 @@ def batch_only(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def with_row_id(df: DataFrame, order, name: str = "row_id") -> DataFrame:
-    """Adds 1..n in ``order``, without bringing all rows into one task.
+def _place(columns: Sequence[Column]) -> Column:
+    """A value that sorts as the columns do: ascending, NULL last."""
+    return F.struct(*(f.alias(f"_{2 * i + k}") for i, c in enumerate(columns) for k, f in enumerate((c.isNull(), c))))
 
-    Rows are sorted by range; each partition's size is counted in a second pass and its rows are numbered from the sum
-    of the sizes before it. ``order`` should be total, or the numbers of tied rows differ between runs.
+
+def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 256) -> DataFrame:
+    """Adds 1..n in ``order`` (column names), without bringing all rows into one task.
+
+    Bounds between ``buckets`` ranges of the order are drawn once, from a sample of as many rows; a row's range depends on
+    its own values alone. Rows are numbered within ranges, from the sum of the sizes of the ranges before. ``order``
+    should be total, or the numbers of tied rows differ between runs.
     """
     if name in batch_only(df, "with_row_id").columns:
         raise ValueError(f"a column is already called {name}.")
-    placed = df.orderBy(*order_columns(order)).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))  # a row for each partition
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.col("_place") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before") + 1
-    return placed.join(F.broadcast(before), "_part").withColumn(name, number).select(*map(quoted, df.columns), name)
+    order_columns(order)
+    keys = [order] if isinstance(order, str) else list(order)
+    if not all(isinstance(k, str) for k in keys):
+        raise ValueError("row numbers need `order=` as column names.")
+    resolve_cols(df, keys)
+    drawn = df.select(*map(quoted, keys)).orderBy(F.rand(1)).limit(buckets - 1)
+    bounds = [tuple(r) for r in drawn.distinct().orderBy(*order_columns(keys)).collect()]
+    own = _place([quoted(k) for k in keys])
+    kinds = [df.schema[k].dataType for k in keys]
+
+    def bucket(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        bound = _place([F.lit(v).cast(t) for v, t in zip(bounds[middle], kinds, strict=True)])
+        return F.when(own <= bound, bucket(low, middle)).otherwise(bucket(middle + 1, high))
+
+    placed = df.withColumn("_bucket", bucket(0, len(bounds)))
+    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
+    before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_columns(keys))) + F.col("_before")
+    return placed.join(F.broadcast(before), "_bucket").withColumn(name, number).select(*map(quoted, df.columns), name)
 
 
 def clean_names(names: Sequence[str], method: str = "unique") -> list[str]:

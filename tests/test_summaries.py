@@ -99,3 +99,11 @@ def test_plans_push_filters_and_prune_columns(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,25.0)]" in plan
     assert "l_comment" not in plan and "l_shipdate" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_one_namespace_holds_all_verbs(frame):
+    import lattica.api as la
+
+    for name in ("subset", "summarise", "merge", "rollingmerge", "tolong", "rollmean", "titlecase", "parsedate", "addmonths", "assertkey", "lump", "rowmin", "foldr", "describe", "unionrows", "winsorize"):
+        assert callable(getattr(la, name))
+    assert la.filter(frame, "a > 1").count() == 1

@@ -98,6 +98,9 @@ def test_rows(make, spark):
     assert rows.samplefrac(df, 0.5).count() == 2
     numbered = core.with_row_id(spark.range(1000).repartition(7), "id")
     assert all(r["row_id"] == r["id"] + 1 for r in numbered.collect())
+    holes = core.with_row_id(spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("a"), F.col("id").alias("b")), ["a", "b"], buckets=16).collect()
+    want = sorted(((r["a"], r["b"]) for r in holes), key=lambda v: (v[0] is None, v[0] or 0, v[1]))
+    assert [(r["a"], r["b"]) for r in sorted(holes, key=lambda r: r["row_id"])] == want
     assert vals(rows.reorder(make([(1,), (None,), (2,)], "a int"), "a", True), "a") == [2, 1, None]
 
 
