@@ -132,7 +132,7 @@ def _place(columns: Sequence[Column]) -> Column:
     return F.struct(*(f.alias(f"_{2 * i + k}") for i, c in enumerate(columns) for k, f in enumerate((c.isNull(), c))))
 
 
-def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 256) -> DataFrame:
+def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 64) -> DataFrame:
     """Adds 1..n in ``order`` (column names), without bringing all rows into one task.
 
     Bounds between ``buckets`` ranges of the order are drawn once, from a sample of as many rows; a row's range depends on
@@ -148,7 +148,6 @@ def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 256)
     resolve_cols(df, keys)
     drawn = df.select(*map(quoted, keys)).orderBy(F.rand(1)).limit(buckets - 1)
     bounds = [tuple(r) for r in drawn.distinct().orderBy(*order_columns(keys)).collect()]
-    own = _place([quoted(k) for k in keys])
     kinds = [df.schema[k].dataType for k in keys]
 
     def bucket(low: int, high: int) -> Column:
@@ -156,9 +155,9 @@ def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 256)
             return F.lit(low)
         middle = (low + high) // 2
         bound = _place([F.lit(v).cast(t) for v, t in zip(bounds[middle], kinds, strict=True)])
-        return F.when(own <= bound, bucket(low, middle)).otherwise(bucket(middle + 1, high))
+        return F.when(F.col("_own") <= bound, bucket(low, middle)).otherwise(bucket(middle + 1, high))
 
-    placed = df.withColumn("_bucket", bucket(0, len(bounds)))
+    placed = df.withColumn("_own", _place([quoted(k) for k in keys])).withColumn("_bucket", bucket(0, len(bounds)))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
     before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_columns(keys))) + F.col("_before")
