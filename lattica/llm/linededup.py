@@ -1,6 +1,6 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its word shingles. Tokens are ordered by rarity (the corpus frequency of the bucket of their first
+A line's tokens are its word shingles. Tokens are ordered by rarity (the corpus frequency of the bucket of their rarest
 word, then their hash), and two lines of n and m tokens can only have a Jaccard similarity of t or more if they share
 one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Those prefixes are joined on tokens; length and positional
 filters rule out pairs, the rest are verified on the whole sets, and later lines that match are removed.
@@ -46,17 +46,22 @@ def rarity_levels(docs: DataFrame) -> Column:
 
 
 def token_set(line: Column, levels: Column, shingle: int) -> Column:
-    """The sorted distinct tokens of a line, rarest first: 8 bits of level above 56 bits of hash."""
+    """The sorted distinct tokens of a line, rarest first: 8 bits of level (of the rarest word) above 56 bits of hash."""
+    top = F.lit(0x7F << 56)
 
-    def key(first: Column, hashed: Column) -> Column:
-        level = F.get(levels, F.xxhash64(first).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+    def word(w: Column) -> Column:
+        level = F.get(levels, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-    def tokens(words: Column) -> Column:
-        some = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda i: key(F.get(words, i), F.xxhash64(*(F.get(words, i + j) for j in range(shingle)))))
-        return F.when(F.size(words) < shingle, F.array(key(F.get(words, F.lit(0)), F.xxhash64(words)))).otherwise(F.sort_array(F.array_distinct(some)))
+    def key(rarest: Column, hashed: Column) -> Column:
+        return rarest.bitwiseAND(top).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    return F.transform(F.array(_words(line)), tokens)[0]
+    def tokens(p: Column) -> Column:
+        at = lambda i: [F.get(p, i + j) for j in range(shingle)]
+        some = F.transform(F.sequence(F.lit(0), F.size(p) - shingle), lambda i: key(F.least(*at(i)), F.xxhash64(*at(i))))
+        return F.when(F.size(p) < shingle, F.array(key(F.array_min(p), F.xxhash64(p)))).otherwise(F.sort_array(F.array_distinct(some)))
+
+    return F.transform(F.array(F.transform(_words(line), word)), tokens)[0]
 
 
 def _within(n: Column, m: Column, tenths: int) -> Column:
@@ -134,8 +139,8 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     entries = lists.select(F.explode(F.array(F.struct("token", "h1", "n", "i"), F.struct("token", "leader.h1", "leader.n", "leader.i"))).alias("e")).select("e.*").distinct()
     entries = staged(entries.join(firsts, "h1"), "entries")
     open_rows = entries.join(settled, "h1", "left_anti").select("token", F.col("h1").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("fy"))
-    pairs = open_rows.join(entries, "token").filter((F.col("first") < F.col("fy")) & _within(F.col("n"), F.col("m"), tenths))
-    # all common tokens of the two prefixes count, and after the last of them no more can follow than either set has left
+    pairs = open_rows.join(entries, "token").filter((F.col("first") < F.col("fy")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), tenths))
+    # common tokens up to the last possible one all count, and after it no more can follow than either set has left
     pairs = pairs.groupBy(F.col("h1").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
     pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _needed(F.col("n"), F.col("m"), tenths))
     pairs = pairs.select("x", "y").join(best, ["x", "y"], "left_anti")
