@@ -2,8 +2,8 @@
 
 A line's tokens are its word shingles. Tokens are ordered by rarity (the corpus frequency of the bucket of their rarest
 word, then their hash), and two lines of n and m tokens can only have a Jaccard similarity of t or more if they share
-one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Those prefixes are joined on tokens; length and positional
-filters rule out pairs, the rest are verified on the whole sets, and later lines that match are removed.
+one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Those prefixes are joined on tokens; length, positional and
+bitmap filters rule out pairs, the rest are verified on the whole sets, and later lines that match are removed.
 
 Copies are one class of lines from the start. In a posting list each class first meets the list's earliest line and
 its predecessor, and the better of those is verified: that settles nearly every member of a large group of near copies
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lattica.llm.common import discard, staged
 
 BUCKETS = 8192
+#: Words of 64 bits in a set's bitmap, a power of two.
+MAPS = 4
 #: The most rows that are broadcast, of three numbers each; beyond it a shuffle takes over.
 BROADCAST_ROWS = 1_000_000
 
@@ -78,6 +80,23 @@ def _possible(n: Column, i: Column, m: Column, j: Column, tenths: int) -> Column
     return _within(n, m, tenths) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, tenths))
 
 
+def _bitmap(tokens: Column) -> list[Column]:
+    """Columns b0, b1, ...: 64 bits each, of which every token sets one."""
+
+    def part(k: int) -> Column:
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+        own = lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(MAPS - 1)) == k
+        return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: F.when(own(t), bits.bitwiseOR(bit(t))).otherwise(bits))
+
+    return [part(k).alias(f"b{k}") for k in range(MAPS)]
+
+
+def _mapped(n: Column, m: Column, tenths: int) -> Column:
+    """Whether bitmaps b and c leave room for the overlap that a pair needs: a token whose bit the other lacks isn't common."""
+    missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(MAPS)), F.lit(0))
+    return F.least(n - missing("b", "c"), m - missing("c", "b")) >= _needed(n, m, tenths)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
     """Those of ``pairs`` (x, y) whose sets are similar enough."""
     # a class occurs once in the sets: hashing them spares the sorts of a merge join
@@ -126,6 +145,7 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     same = key & source["doc_id"].eqNullSafe(at["doc_id"]) & (source["copy"] == at["copy"]) & (source["line_no"] == at["line_no"])
     picked = source.join(F.broadcast(at) if number <= BROADCAST_ROWS else at, same, "left_semi")
     sets = staged(picked.select("h1", token_set(F.col("line"), levels, shingle).alias("tokens")), "sets")
+    maps = sets.select("h1", *_bitmap(F.col("tokens")))
 
     firsts = wanted.select("h1", "first")
 
@@ -137,9 +157,10 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     settled = staged(later(_verified(best, sets, tenths)), "settled")
     # the rest: every earlier class of their lists
     entries = lists.select(F.explode(F.array(F.struct("token", "h1", "n", "i"), F.struct("token", "leader.h1", "leader.n", "leader.i"))).alias("e")).select("e.*").distinct()
-    entries = staged(entries.join(firsts, "h1"), "entries")
-    open_rows = entries.join(settled, "h1", "left_anti").select("token", F.col("h1").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("fy"))
-    pairs = open_rows.join(entries, "token").filter((F.col("first") < F.col("fy")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), tenths))
+    entries = staged(entries.join(firsts, "h1").join(maps, "h1"), "entries")
+    open_rows = entries.join(settled, "h1", "left_anti").select("token", F.col("h1").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("fy"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(MAPS)))
+    apart = (F.col("first") < F.col("fy")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), tenths) & _mapped(F.col("n"), F.col("m"), tenths)
+    pairs = open_rows.join(entries, "token").filter(apart)
     # common tokens up to the last possible one all count, and after it no more can follow than either set has left
     pairs = pairs.groupBy(F.col("h1").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
     pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _needed(F.col("n"), F.col("m"), tenths))
