@@ -45,7 +45,7 @@ def to_png(payload: bytes, width: int = WIDTH) -> bytes:
     height = len(payload) // width
     rows = np.zeros((height, width + 1), np.uint8)  # each row after a zero: no filter
     rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, width)
-    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 3)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int, int]:
