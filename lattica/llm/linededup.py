@@ -21,7 +21,7 @@ from lattica.llm.common import discard, staged
 
 BUCKETS = 8192
 #: Words of 64 bits in a set's bitmap, a power of two.
-MAPS = 4
+MAPS = 8
 #: The most rows that are broadcast, of three numbers each; beyond it a shuffle takes over.
 BROADCAST_ROWS = 1_000_000
 
