@@ -391,7 +391,7 @@ over_text("splitlast", lambda c: text.splitlast(c, " "), "split_part(x, ' ', -1)
 over_text("jointext", lambda c: text.jointext(F.nullif(c, F.lit("Brand#11")), F.lit("-"), c), "coalesce(nullif(x, 'Brand#11'), 'NA') || '-' || x", source="p_brand")
 add("collapsetext", lambda t: t.conversations.groupBy("conv_id").agg(text.collapsetext("role", ">", order="turn").alias("v")), "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS v FROM conversations GROUP BY ALL")
 over_text("isblank", text.isblank, "x IS NULL OR trim(x) = ''", source="CASE p_size % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE p_name END")
-over_text("removeaccents", lambda c: text.removeaccents(F.substring(c, 1, 200)), None, "documents", "text")
+over_text("removeaccents", text.removeaccents, None, "documents", "text")
 over_text("transliterate", lambda c: text.transliterate(F.lower(c)), None, "documents", "text")
 over_text("normalizeunicode", text.normalizeunicode, "x")
 over_text("normalizeencoding", text.normalizeencoding, "x")
