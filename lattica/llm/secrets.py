@@ -1,8 +1,8 @@
 """Secret scans: patterns over whole texts, judged by who else holds the same value, in DataFrame operations only.
 
 Besides the base patterns, long tokens of mixed letters and digits are candidates. The hashes of all candidates' values
-are aggregated over the corpus by distinct repositories and owners. A value that several owners hold is an example that
-was copied; one that is specific to an owner looks live, and a live-looking token is added to the spans.
+are aggregated over the corpus by distinct repositories and owners. A value that several owners or many repositories
+hold is an example that was copied; one that few of either hold looks live, and a live-looking token is added to the spans.
 """
 
 from __future__ import annotations
@@ -44,18 +44,19 @@ def _spans(text: Column, number: int) -> Column:
     return F.when(text.rlike(HINTS[name]), spans).otherwise(none)
 
 
-def _written(spans: Column) -> Column:
-    """kind:start:end by start, then kind, comma-joined."""
+def _written(spans: Column, *more: str) -> Column:
+    """kind:start:end, and ``more`` fields, by start, then kind, comma-joined."""
     names = F.array(*(F.lit(k[0]) for k in KINDS))
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), *(s[f].cast("string") for f in ("start", "end", *more)))), ",")
 
 
-def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", max_owners: int = 2) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied and n_added for each row of ``docs``.
+def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id", max_owners: int = 2, max_repositories: int = 8) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, n_added and holders for each row of ``docs``.
 
     ``owner`` and ``repository`` name the columns by which a value's holders are counted (null is a holder of its own).
-    A value held by at most ``max_owners`` owners counts as live, any other as copied. Tokens that overlap a base span
-    aren't candidates. Null texts count as empty; repeated rows get equal results; an empty table gives an empty result.
+    A value held by at most ``max_owners`` owners and at most ``max_repositories`` repositories counts as live, any other
+    as copied; holders has kind:start:end:owners:repositories of every candidate. Tokens that overlap a base span aren't
+    candidates. Null texts count as empty; repeated rows get equal results; an empty table gives an empty result.
     """
     base = docs.select(F.col("doc_id"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), whole(F.col("text")).alias("text"))
     spans = base.select("doc_id", "owner", "repository", F.concat(*(_spans(F.col("text"), k) for k in range(3))).alias("base"), _spans(F.col("text"), 3).alias("tokens"))
@@ -66,12 +67,14 @@ def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "d
 
     held = narrow.select("row", "owner", "repository", F.explode(F.concat("base", "tokens")).alias("s")).select("row", "owner", "repository", F.col("s.hash").alias("hash"), F.col("s.kind").alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     # counted in steps, each combined before it is shuffled: no value's holders meet in one task
-    by_repository = held.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = by_repository.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    holders = by_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = held.join(holders.select("hash", "owners"), "hash").select("row", "kind", "start", "end", (F.col("owners") <= max_owners).alias("live"))
+    sides = F.explode(F.array(*(F.struct(F.lit(c).alias("side"), F.col(c).alias("holder")) for c in ("owner", "repository"))))
+    apart = held.select("hash", sides.alias("h")).select("hash", "h.side", "h.holder").distinct()
+    holders = apart.groupBy("hash").agg(F.count_if(F.col("side") == "owner").alias("owners"), F.count_if(F.col("side") == "repository").alias("repositories"))
+    live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
+    judged = held.join(holders, "hash").select("row", "kind", "start", "end", "owners", "repositories", live.alias("live"))
     added = F.collect_list(F.when((F.col("kind") == 3) & F.col("live"), F.struct("start", "kind", "end")))
-    verdict = judged.groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), added.alias("added"))
+    counted = F.collect_list(F.struct("start", "kind", "end", "owners", "repositories"))
+    verdict = judged.groupBy("row").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), added.alias("added"), counted.alias("counted"))
 
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
@@ -88,4 +91,5 @@ def scan_secrets(docs: DataFrame, *, owner: str = "source", repository: str = "d
         F.coalesce("n_live", zero).alias("n_live"),
         F.coalesce("n_copied", zero).alias("n_copied"),
         F.size(extra).cast("long").alias("n_added"),
+        F.coalesce(_written(F.col("counted"), "owners", "repositories"), F.lit("")).alias("holders"),
     )

@@ -102,6 +102,15 @@ def test_secrets_tell_copied_values_from_owned_ones(spark):
     assert got[9]["spans"] == f"token:5:{5 + len(own)}" and got[10]["n_live"] == 1 and got[11]["spans"] == ""
 
 
+def test_secrets_count_repositories_besides_owners(spark):
+    own, spread = "Zk3q9Xw7Lm2Pv8Rt5Yb1", "Qw8e7Rt6Yu5Io4Pa3Sd2"
+    rows = [(i, f"see {spread} here", "s1") for i in range(20)] + [(0, f"see {spread} here", None)] + [(30, f"mine {own}", "s1"), (31, f"mine {own}", None), (31, f"mine {own}", None), (32, "none", "s1")]
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[i]["n_live"], got[i]["n_copied"], got[i]["n_added"], got[i]["spans"]) == (0, 1, 0, "") for i in range(20))
+    assert got[5]["holders"] == "token:4:24:2:20"
+    assert (got[30]["n_live"], got[30]["n_added"], got[30]["holders"], got[32]["holders"]) == (1, 1, "token:5:25:2:2", "")
+
+
 # --- 2 packing ------------------------------------------------------------------------------------------------------
 
 
