@@ -6,7 +6,7 @@ written as Parquet and read again as the next stage's docs. All but the last ret
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import linededup, mixing, packing, simhash, toxicity
@@ -31,14 +31,18 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id."""
+    """One document of each SimHash component stays: the one with the smallest id, or any if none has an id."""
     return simhash.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is there as many times as the mix takes it; the one of each source that it takes in part counts to the nearest whole number."""
-    copies = mixing.mix_documents(docs).groupBy("doc_id").agg(F.max(F.round("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    keys = {"_doc": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": mixing.word_count(F.col("text"))}
+    # rows of one id, source and size are alike to the mix: any numbering of them will do
+    numbered = docs.withColumns(keys).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))).cast("long"))
+    copies = mixing.mix_documents(docs).select("doc_id", "source", "size", "row", F.round("copies").cast("int").alias("_copies")).filter("_copies > 0").toDF("_d", "_s", "_z", "_r", "_copies")
+    same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_row") == F.col("_r"))
+    return numbered.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,16 +49,17 @@ def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long). Null texts count as empty: fingerprint zero."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep`` and fp (the fingerprint as a signed long). Null texts count as empty: fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle, seed) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+            got = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle, seed) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got.view(np.int64))], ["doc_id", *keep, "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, whole(F.col("text")).alias("text"))
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}fp long")
 
 
 def _cells(fp: Column) -> Column:
@@ -175,6 +176,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; rows that repeat a doc_id go too."""
-    ids = near_duplicates(docs, shingle=shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component of ``docs``: the one with the smallest doc_id, null last, then with the smallest hash of its text.
+
+    Rows count by doc_id and text: those without a doc_id or with one that repeats go only if another row resembles them.
+    """
+    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64("text", F.length("text"))}
+    found = fingerprints(docs.withColumn("_hash", key["_hash"]), shingle=shingle, keep=("_hash",)).withColumns({k: key[k] for k in ("_none", "_id")})
+    classes = staged(found.groupBy("fp").agg(F.min(F.struct(*key)).alias("best")).withColumn("node", F.col("fp")), "classes")
+    stars = component_stars(fingerprint_links(classes)).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    labelled = classes.join(stars, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best"))
+    return docs.withColumns(key).join(labelled.select("best.*"), list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)

@@ -294,6 +294,15 @@ def test_simhash_equals_brute_force(docs, rows, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(components(values))) and kept.columns == docs.columns
 
 
+def test_one_of_each_stays_without_ids(spark):
+    rng = random.Random(8)
+    texts = [words(rng, 80) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (9, texts[5]), (3, texts[5]), (None, None), (None, "")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (3, texts[5]), (None, "")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i or 0, t) for i, t in want)
+
+
 def test_links_of_dense_sets_are_whole(spark, monkeypatch):
     rng = random.Random(6)
     values = list({x for c in (rng.getrandbits(64), rng.getrandbits(64)) for _ in range(250) for x in [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5)))]} | {rng.getrandbits(64) for _ in range(200)})

@@ -1,11 +1,26 @@
 """The stages one by one on a small corpus: each works on what the one before kept."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
+from lattica.llm import mixing
 from lattica.llm.common import documents
 
 
+def test_mix_keeps_rows_without_ids_and_tells_repeated_ones_apart(spark):
+    rng = random.Random(4)
+    docs = [(None if i % 3 == 0 else i % 20, "w" * (i + 1) + " x" * rng.randint(0, 40), f"s{i % 4}" if i % 7 else None) for i in range(120)] + [(None, None, "s1"), (5, "", "s1")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    count = lambda rows: sorted(((r[0] or -1, r[1] or "", r[2], n) for r, n in rows.items()))
+    want, got = Counter(), Counter()
+    for r in mixing.mix_documents(docs).collect():
+        want[r["doc_id"], r["source"], r["size"]] += round(r["copies"])
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        got[r["doc_id"], r["source"], len((r["text"] or "").split())] += 1
+    assert count(got) == count(+want) and any(i is None for i, *_ in got)
+
+
 def test_stages(spark, tmp_path):
     rng = random.Random(9)
     make = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n))
