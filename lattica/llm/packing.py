@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -101,13 +102,13 @@ def bin_bound(lengths: np.ndarray, capacity: int, steps: int = 12) -> int:
     return best
 
 
-def _packed(round_number: int, capacity: int):
+def _packed(first_group: int, capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_key", *[c for c in ("doc_id", "piece") if c in group]], kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, places, filled = best_fit_decreasing(lengths, capacity)
         bound = bin_bound(lengths, capacity)
-        group["sequence_id"] = (round_number << 56) + (int(group["_group"].iloc[0]) << 28) + bins
+        group["sequence_id"] = ((first_group + int(group["_group"].iloc[0])) << 28) + bins
         group["offset"] = places
         group["_first"] = places == 0
         group["_gap"] = len(filled) - bound
@@ -117,7 +118,7 @@ def _packed(round_number: int, capacity: int):
     return pack
 
 
-def pack_best_fit(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = 100_000, rounds: int = 3) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, *, capacity: int = 1024, group_rows: int = 100_000) -> DataFrame:
     """``pieces`` with sequence_id, offset and certified (its group's count of sequences equals the lower bound).
 
     ``pieces`` needs a column ``length`` from 1 to ``capacity``; other columns are carried along. Every row is placed,
@@ -130,11 +131,13 @@ def pack_best_fit(pieces: DataFrame, *, capacity: int = 1024, group_rows: int =
     items = staged(pieces.withColumn("_key", F.xxhash64(*names)), "pieces")
     done: list[DataFrame] = []
     pool, number = items, items.count()
-    for turn in range(rounds + 1):
+    first_group = 0
+    for turn in count():
         groups = max(1, -(-number // group_rows))
         dealt = pool.select(*names, "_key", F.pmod(F.xxhash64("_key", F.lit(turn)), F.lit(groups)).alias("_group"))
         schema = T.StructType([*dealt.schema.fields, *(T.StructField(n, T.BooleanType() if n == "_first" else T.LongType()) for n in ("sequence_id", "offset", "_first", "_gap", "_room"))])
-        tried = staged(dealt.groupBy("_group").applyInPandas(_packed(turn, capacity), schema), f"round{turn}")
+        tried = staged(dealt.groupBy("_group").applyInPandas(_packed(first_group, capacity), schema), f"round{turn}")
+        first_group += groups
         if turn:
             saved = before - tried.filter("_first").count()
             if saved <= 0:
@@ -143,7 +146,7 @@ def pack_best_fit(pieces: DataFrame, *, capacity: int = 1024, group_rows: int =
         loose = (F.col("_gap") > 0) & (F.col("_room") > 0)
         totals = tried.filter(loose).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_first").alias("bins")).first()
         number, before = totals["rows"], totals["bins"]
-        if not number or turn == rounds or groups == 1:
+        if not number or groups == 1:  # loose pieces of a single group are packed again as they were
             done.append(tried)
             break
         done.append(tried.filter(~loose))

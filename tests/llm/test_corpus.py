@@ -140,6 +140,17 @@ def test_packing(docs, rows, none):
     assert packing.pack_best_fit(packing.token_pieces(none, BYTE)).count() == 0
 
 
+def test_packing_exchanges_as_long_as_it_saves(spark):
+    rng = random.Random(2)
+    pieces = spark.createDataFrame([(i, rng.randint(15, 40)) for i in range(6000)], "doc_id long, length long")
+    got = packing.pack_best_fit(pieces, capacity=64, group_rows=30).collect()
+    filled = defaultdict(int)
+    for r in got:
+        filled[r["sequence_id"]] += r["length"]
+    assert len(got) == 6000 and max(filled.values()) <= 64
+    assert len(filled) <= 2732  # three rounds leave 2,734
+
+
 def test_packing_keeps_ids_and_refuses_clashes(docs, spark):
     one = packing.token_pieces(docs.filter("doc_id = 5"), BYTE, capacity=100, with_ids=True).orderBy("piece").collect()
     assert [i for r in one for i in r["ids"]] == ids_of(BYTE, docs.filter("doc_id = 5").first()["text"])
