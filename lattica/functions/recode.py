@@ -86,8 +86,10 @@ def reorderlevels(c, by: Sequence[str]) -> Column:
 
 
 def expandlevels(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
-    """Adds levels to a column's; values stay."""
-    own = levels_of(df, column) or [r[0] for r in df.select(quoted(column)).distinct().filter(quoted(column).isNotNull()).orderBy(quoted(column)).limit(10_000).collect()]
+    """Adds levels to a column's; values stay. More than 10,000 distinct values of a column without levels are refused."""
+    own = levels_of(df, column) or [r[0] for r in df.select(quoted(column)).distinct().filter(quoted(column).isNotNull()).orderBy(quoted(column)).limit(10_001).collect()]
+    if not levels_of(df, column) and len(own) > 10_000:
+        raise ValueError("more than 10,000 levels.")
     return with_levels(df, column, list(dict.fromkeys([*own, *levels])))
 
 

@@ -62,6 +62,13 @@ def test_recode(one, spark):
     assert one(lambda c: recode.reorderlevels(c, ["y", "x"])["code"], "x") == 2
 
 
+def test_expandlevels_refuses_to_cut(spark):
+    many = spark.range(10_001).selectExpr("cast(id as string) AS v")
+    with pytest.raises(ValueError, match="10,000 levels"):
+        recode.expandlevels(many, "v", ["z"])
+    assert len(recode.levels_of(recode.expandlevels(many.filter("v <> '7'"), "v", ["z"]), "v")) == 10_001
+
+
 def test_parsing(one, spark):
     assert one(parsing.parseint, "12.7") == 12 and one(parsing.parseint, "x") is None
     assert one(parsing.parsenum, "1,234.5") == 1234.5
