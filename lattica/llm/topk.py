@@ -70,16 +70,19 @@ class MTree:
         length, whole = float(np.sqrt(q @ q)) * (1 + 1e-12), query.astype(np.int64)
         best: list[tuple[int, int]] = []  # a heap with the worst on top: (score, -id)
         centre, top = self.root
+        entries = self.nodes[top]
+        reach = float(np.sqrt(centre @ centre)) + float((entries[2] if entries[0] == "leaf" else entries[3] + entries[2]).max())
+        slack = SLACK + 1e-12 * length * reach  # rounding of products grows with them
         waiting = [(-np.inf, 0, top, float(centre @ q))]
         limit, computed, turn = floor, 0, 1
         while waiting:
             bound, _, number, product = heapq.heappop(waiting)
-            if -bound < limit - SLACK:
+            if -bound < limit - slack:
                 break
             node = self.nodes[number]
             if node[0] == "leaf":
                 _, rows, distance = node
-                rows = rows[product + length * distance >= limit - SLACK]
+                rows = rows[product + length * distance >= limit - slack]
                 computed += len(rows)
                 scores = self.vectors[rows].astype(np.int64) @ whole
                 for score, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
@@ -93,12 +96,12 @@ class MTree:
                         limit = max(limit, best[0][0])
             else:
                 _, routing, radii, parent, children = node
-                maybe = np.flatnonzero(product + length * (parent + radii) >= limit - SLACK)
+                maybe = np.flatnonzero(product + length * (parent + radii) >= limit - slack)
                 computed += len(maybe)
                 products = routing[maybe] @ q
                 bounds = products + length * radii[maybe]
                 for b, c, p in zip(bounds.tolist(), maybe.tolist(), products.tolist(), strict=True):
-                    if b >= limit - SLACK:
+                    if b >= limit - slack:
                         heapq.heappush(waiting, (-b, turn, children[c], p))
                         turn += 1
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1])), computed
@@ -107,12 +110,16 @@ class MTree:
 def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v (floor of ``scale`` times each component) and dim of the vectors that can take part.
 
-    Left out: null ids, vectors that are null or empty, and those with null or non-finite components.
+    Left out: null ids, vectors that are null or empty, and those with null or non-finite components. A vector whose ``v``
+    has a squared length of 2**63 or more is an error: its scores might not fit a long.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null and size(x) > 0")
-    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(2.0**40)))
-    return rows.filter(fine).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"), F.size("x").alias("dim"))
+    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    floors = rows.filter(fine).select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v"), F.size("x").alias("dim"))
+    squared = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
+    large = F.raise_error(F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" is too long: its scores might not fit a long")))
+    return floors.select("vec_id", F.when(squared < (1 - 1e-9) * 2.0**63, F.col("v")).otherwise(large).alias("v"), "dim")
 
 
 def _matrix(values) -> np.ndarray:

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 
 from lattica.llm import boosting, chat, linededup, media, mixing, packing, queries, secrets, simhash, token_orc, tokenizing, topk, toxicity
 from lattica.llm.common import shared_dir
@@ -257,6 +258,23 @@ def test_top_k_equals_brute_force(spark):
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
 
 
+def test_top_k_keeps_large_vectors_or_raises(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(size=8) * (2.0**18 if i % 2 else 1)]) for i in range(200)]
+    usable = topk.usable(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for r in topk.top_k(usable, usable.filter("vec_id % 50 = 1"), page_rows=32, routing_rows=16).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors}
+    for q in range(1, 200, 50):
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v, strict=True)), i) for i, v in ints.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    for size in (2.0**40, -(2.0**41), 1e300):
+        long = spark.createDataFrame([(1, [1.0, 0.0]), (77, [size, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(PySparkException, match="vector 77"):
+            topk.usable(long).collect()
+
+
 def test_m_tree_saves_products():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 16)) * 2000
