@@ -57,3 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole(text: Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(text, F.lit(""))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores appended as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

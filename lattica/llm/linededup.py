@@ -1,110 +1,139 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
-A line's tokens are its word shingles. Tokens are ordered by rarity (the corpus frequency of the bucket of their rarest
-word, then their hash), and two lines of n and m tokens can only have a Jaccard similarity of t or more if they share
-one of the first n - ceil(t n) + 1 and m - ceil(t m) + 1. Those prefixes are joined on tokens; length, positional and
-bitmap filters rule out pairs, the rest are verified on the whole sets, and later lines that match are removed.
-
-Copies are one class of lines from the start. In a posting list each class first meets the list's earliest line and
-its predecessor, and the better of those is verified: that settles nearly every member of a large group of near copies
-without listing the group's pairs. Only classes that stay unmatched meet all others of their lists.
+A line's tokens are its word shingles, hashed; copies are one class of lines. Two classes of n and m tokens can only have
+a Jaccard similarity of t or more if they have at least ceil(t n) and ceil(t m) of them in common. So whatever the order
+of all tokens, they share k of the first n - ceil(t n) + k and m - ceil(t m) + k.
+
+1. Prefixes in the order of hashes, which costs no counting, tell the classes that don't share enough of theirs with
+   others: those match nothing. In prose that leaves a small part.
+2. Of the others every shingle's own frequency is counted. Tokens are ordered by rarity (frequency, then hash), prefixes
+   are joined on tokens, length and positional filters rule out pairs, the others are verified on the whole sets, and
+   later lines that match are removed.
+
+In a posting list each class first meets the list's earliest one only, which settles nearly every member of a large group
+of near copies without listing the group's pairs. Classes that stay unmatched meet all earlier members of their lists.
+Frequent tokens are combined before they are shuffled, and joins on tokens are plain equi-joins that adaptive execution
+splits, so no list has to fit in one task.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import discard, staged
+from lattica.llm.common import discard, staged, unused
 
-BUCKETS = 8192
-#: Words of 64 bits in a set's bitmap, a power of two.
-MAPS = 8
-#: The most rows that are broadcast, of three numbers each; beyond it a shuffle takes over.
+#: The most rows that are broadcast, of a few numbers each; beyond it a shuffle takes over.
 BROADCAST_ROWS = 1_000_000
+#: How many tokens of the prefixes in the order of hashes two similar lines share (k).
+SHARED = 4
 
 
-def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row for each line that has words: doc_id, copy (hash of the text), line_no and line."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.split("text", "\n").alias("lines"))
+    return texts.select("doc_id", "copy", F.posexplode("lines").alias("line_no", "line")).filter(F.trim("line") != "")
 
 
-def _hashed_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that has words: doc_id, copy (hash of the text), line_no, line, h1 and h2 (its hashes)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    rows = rows.filter(F.trim("line") != "")
-    return rows.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.hash("line"))
+def with_tokens(lines: DataFrame, shingle: int) -> DataFrame:
+    """``lines`` with tokens in place of ``line``: the sorted distinct hashes of its shingles; a line of fewer words is one token."""
 
+    def shingles(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - shingle)
+        return F.when(F.size(words) < shingle, F.array(F.xxhash64(words))).otherwise(F.transform(places, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(shingle)))))
 
-def rarity_levels(docs: DataFrame) -> Column:
-    """An array with a level for each bucket of words: twice the binary logarithm of their number in the whole corpus."""
-    words = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("line")).select(F.explode(F.split("line", " ")).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).count().collect()  # a row for each bucket
-    levels = [0] * BUCKETS
-    for r in counts:
-        levels[r["bucket"]] = min(100, int(2 * math.log2(1 + r["count"])))
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
+    # a lambda's variable is read faster than a column
+    hashes = F.transform(F.array(F.array_remove(F.split("line", " "), "")), lambda words: F.transform(words, lambda w: F.xxhash64(w)))
+    keep = [c for c in lines.columns if c != "line"]
+    found = lines.select(*keep, hashes.alias("words")).select(*keep, F.transform("words", shingles)[0].alias("tokens"))
+    return found.select(*keep, F.sort_array(F.array_distinct("tokens")).alias("tokens"))
 
 
-def token_set(line: Column, levels: Column, shingle: int) -> Column:
-    """The sorted distinct tokens of a line, rarest first: 8 bits of level (of the rarest word) above 56 bits of hash."""
-    top = F.lit(0x7F << 56)
+def _least(n: Column, tenths: int) -> Column:
+    """The fewest tokens that a set of n has in common with a similar one."""
+    return F.floor((n * tenths + 9) / 10).cast("int")
 
-    def word(w: Column) -> Column:
-        level = F.get(levels, F.xxhash64(w).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-    def key(rarest: Column, hashed: Column) -> Column:
-        return rarest.bitwiseAND(top).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+def _needed(n: Column, m: Column, tenths: int) -> Column:
+    """The overlap that a pair needs."""
+    return F.ceil((n + m) * tenths / (10 + tenths) - 1e-9)
 
-    def tokens(p: Column) -> Column:
-        at = lambda i: [F.get(p, i + j) for j in range(shingle)]
-        some = F.transform(F.sequence(F.lit(0), F.size(p) - shingle), lambda i: key(F.least(*at(i)), F.xxhash64(*at(i))))
-        return F.when(F.size(p) < shingle, F.array(key(F.array_min(p), F.xxhash64(p)))).otherwise(F.sort_array(F.array_distinct(some)))
 
-    return F.transform(F.array(F.transform(_words(line), word)), tokens)[0]
+def _possible(n: Column, i: Column, m: Column, j: Column, tenths: int) -> Column:
+    """Length and positional filters, for a common token at places i and j."""
+    return (n * 10 >= m * tenths) & (m * 10 >= n * tenths) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, tenths))
 
 
-def _within(n: Column, m: Column, tenths: int) -> Column:
-    return (n * 10 >= m * tenths) & (m * 10 >= n * tenths)
+def _place() -> Column:
+    return F.struct("doc_id", "copy", "line_no").alias("place")
 
 
-def _needed(n: Column, m: Column, tenths: int) -> Column:
-    """The overlap that a pair needs."""
-    return F.ceil((n + m) * tenths / (10 + tenths) - 1e-9)
+def _broadcast_if_few(df: DataFrame, number: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows, or few items by ``number``. It is counted for that and should be staged."""
+    rows = df.count() if number is None else df.agg(number).first()[0] or 0
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _possible(n: Column, i: Column, m: Column, j: Column, tenths: int) -> Column:
-    """Length and positional filters, for a common token at places i and j."""
-    return _within(n, m, tenths) & (1 + F.least(n - i - 1, m - j - 1) >= _needed(n, m, tenths))
+def _linked(lines: DataFrame, tenths: int) -> DataFrame:
+    """h1 and first of the classes of ``lines`` that share enough tokens of their prefixes with others."""
+    rows = lines.select("h1", F.explode("prefix").alias("token"))
+    shared = rows.groupBy("token").agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.count(F.lit(1)).alias("rows")).filter("x <> y")
+    shared = staged(shared, "shared")
+    two = shared.filter("rows = 2").select(F.explode(F.array("x", "y")).alias("h1"))
+    more = rows.join(_broadcast_if_few(shared.filter("rows > 2").select("token")), "token", "left_semi").select("h1")
+    counts = staged(two.unionByName(more).groupBy("h1").agg(F.count(F.lit(1)).alias("shared")), "counts")
+    linked = lines.select("h1", "n", _place()).join(_broadcast_if_few(counts), "h1").filter(F.col("shared") >= F.least(F.lit(SHARED), _least(F.col("n"), tenths)))
+    linked = staged(linked.groupBy("h1").agg(F.min("place").alias("first")), "linked")
+    discard(shared, counts)
+    return linked
 
 
-def _bitmap(tokens: Column) -> list[Column]:
-    """Columns b0, b1, ...: 64 bits each, of which every token sets one."""
+def _sets(lines: DataFrame, linked: DataFrame, shingle: int) -> DataFrame:
+    """h1, n and tokens of the classes whose first lines are in ``linked``."""
+    at = linked.select("h1", F.col("first.doc_id").alias("d"), F.col("first.copy").alias("c"), F.col("first.line_no").alias("l"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("line_no") == F.col("l"))
+    picked = lines.join(_broadcast_if_few(at), same).select("h1", "line")
+    return staged(with_tokens(picked, shingle).select("h1", F.size("tokens").alias("n"), "tokens"), "sets")
 
-    def part(k: int) -> Column:
-        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
-        own = lambda t: F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(MAPS - 1)) == k
-        return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: F.when(own(t), bits.bitwiseOR(bit(t))).otherwise(bits))
 
-    return [part(k).alias(f"b{k}") for k in range(MAPS)]
+def _entries(sets: DataFrame, tenths: int) -> DataFrame:
+    """h1, n, token and i (its place) of the prefixes of the classes, the rarest tokens first; tokens of one class alone come first of all and are left out."""
+    rows = sets.select("h1", "n", F.explode("tokens").alias("token"))
+    frequency = rows.groupBy("token").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency > 1")
+    own = Window.partitionBy("h1")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    found = rows.join(frequency, "token").withColumns({"alone": alone, "rank": F.row_number().over(own.orderBy("frequency", "token"))})
+    found = found.withColumn("i", (F.col("alone") + F.col("rank") - 1).cast("int"))
+    return found.filter(F.col("i") <= F.col("n") - _least(F.col("n"), tenths)).select("h1", "n", "i", "token")
 
 
-def _mapped(n: Column, m: Column, tenths: int) -> Column:
-    """Whether bitmaps b and c leave room for the overlap that a pair needs: a token whose bit the other lacks isn't common."""
-    missing = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(MAPS)), F.lit(0))
-    return F.least(n - missing("b", "c"), m - missing("c", "b")) >= _needed(n, m, tenths)
+def _similar(sets: DataFrame, linked: DataFrame, tenths: int) -> DataFrame:
+    """h1 and first of the classes of ``sets`` that are similar to an earlier one."""
+    entries = staged(_entries(sets, tenths).join(_broadcast_if_few(linked), "h1"), "entries")
+    earlier = entries.select(*(F.col(c).alias(f"e_{c}") for c in ("h1", "first", "n", "i")), "token")
+    possible = (F.col("e_first") < F.col("first")) & _possible(F.col("n"), F.col("i"), F.col("e_n"), F.col("e_i"), tenths)
+
+    leaders = entries.groupBy("token").agg(F.min(F.struct("first", "h1", "n", "i")).alias("e")).select("token", *(F.col(f"e.{c}").alias(f"e_{c}") for c in ("h1", "first", "n", "i")))
+    led = staged(entries.join(leaders, "token").filter(possible).select(F.col("e_h1").alias("x"), F.col("h1").alias("y")).distinct(), "led")
+    settled = staged(_verified(led, sets, tenths), "settled")
+
+    pairs = entries.join(settled, "h1", "left_anti").join(earlier, "token").filter(possible)
+    # common tokens up to the last possible one all count, and after it no more can follow than either set has left
+    pairs = pairs.groupBy(F.col("e_h1").alias("x"), F.col("h1").alias("y")).agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("n", "i", "e_n", "e_i")))
+    pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("e_n") - F.col("e_i")) - 1 >= _needed(F.col("n"), F.col("e_n"), tenths))
+    rest = _verified(staged(pairs.select("x", "y").join(led, ["x", "y"], "left_anti"), "pairs"), sets, tenths)
+    similar = staged(linked.join(settled.unionByName(rest).distinct(), "h1"), "similar")
+    discard(entries, led, settled)
+    return similar
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
-    """Those of ``pairs`` (x, y) whose sets are similar enough."""
-    # a class occurs once in the sets: hashing them spares the sorts of a merge join
-    one = sets.select(F.col("h1").alias("x"), F.col("tokens").alias("xs")).hint("shuffle_hash")
-    two = sets.select(F.col("h1").alias("y"), F.col("tokens").alias("ys")).hint("shuffle_hash")
-    both = pairs.join(one, "x").join(two, "y")
-    shared = F.size(F.array_intersect("xs", "ys"))
-    return both.filter(shared * (10 + tenths) >= (F.size("xs") + F.size("ys")) * tenths).select("x", "y")
+    """h1 of the later class of those ``pairs`` (x, y) whose whole sets are similar enough."""
+    members = pairs.select(F.explode(F.array("x", "y")).alias("h1")).distinct()
+    some = sets.join(_broadcast_if_few(members), "h1", "left_semi").select("h1", "tokens")
+    both = pairs.join(some.toDF("x", "xs"), "x").join(some.toDF("y", "ys"), "y")
+    common = F.size(F.array_intersect("xs", "ys"))
+    return both.filter(common * (10 + tenths) >= (F.size("xs") + F.size("ys")) * tenths).select(F.col("y").alias("h1")).distinct()
 
 
 def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> DataFrame:
@@ -114,85 +143,38 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     line kept or not; earlier is by (doc_id, hash of the text, line number), null ids first. A line of fewer words than
     ``shingle`` is one token. Lines without words stay. Repeated rows are one document.
     """
-    lines = staged(_hashed_lines(docs).select("doc_id", "copy", "line_no", "h1", "h2"), "lines")
-    place = F.struct("doc_id", "copy", "line_no")
-    classes = staged(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    total = lines.count()
-    # classes so frequent that all their copies in one posting list would weigh: fewer than 10,000 by their definition
-    hot = classes.filter(F.col("copies") > max(100, total // 10_000)).select("h1", "h2", F.col("first").alias("hot_first"))
-    levels = rarity_levels(docs)
-
-    found = _hashed_lines(docs).join(F.broadcast(hot), ["h1", "h2"], "left").filter(F.col("hot_first").isNull() | (F.col("hot_first") == place))
-    found = found.select("doc_id", "line_no", "h1", token_set(F.col("line"), levels, shingle).alias("tokens")).withColumn("n", F.size("tokens"))
-    length = F.col("n") - F.floor((F.col("n") * tenths + 9) / 10).cast("int") + 1
-    rows = found.select("doc_id", "line_no", "h1", "n", F.posexplode(F.slice("tokens", F.lit(1), length)).alias("i", "token"))
-    order = Window.partitionBy("token").orderBy("doc_id", "line_no", "h1")
-    entry = F.struct("h1", "n", "i")
-    lists = rows.select("token", "h1", "n", "i", F.first(entry).over(order).alias("leader"), F.lag(entry).over(order).alias("previous"))
-    lists = staged(lists.filter(F.col("leader.h1") != F.col("h1")), "lists")  # tokens of one class alone end here
-
-    either = F.explode(F.array("leader", "previous")).alias("e")
-    near = lists.select("h1", "n", "i", either).filter(F.col("e.h1") != F.col("h1")).filter(_possible(F.col("n"), F.col("i"), F.col("e.n"), F.col("e.i"), tenths))
-    best = near.groupBy(F.col("h1").alias("y"), F.col("e.h1").alias("x")).agg(F.count(F.lit(1)).alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
-    best = staged(best.select("x", "y"), "best")
-
-    members = lists.select(F.explode(F.array("h1", "leader.h1")).alias("h1")).distinct()
-    wanted = staged(members.join(classes.select("h1", "first"), "h1").groupBy("h1").agg(F.min("first").alias("first")), "wanted")
-    number = wanted.count()
-    at = wanted.select("h1", F.col("first.doc_id").alias("doc_id"), F.col("first.copy").alias("copy"), F.col("first.line_no").alias("line_no"))
-    source = _hashed_lines(docs).select("doc_id", "copy", "line_no", "h1", "line")
-    key = source["h1"] == at["h1"]
-    same = key & source["doc_id"].eqNullSafe(at["doc_id"]) & (source["copy"] == at["copy"]) & (source["line_no"] == at["line_no"])
-    picked = source.join(F.broadcast(at) if number <= BROADCAST_ROWS else at, same, "left_semi")
-    sets = staged(picked.select("h1", token_set(F.col("line"), levels, shingle).alias("tokens")), "sets")
-    maps = sets.select("h1", *_bitmap(F.col("tokens")))
-
-    firsts = wanted.select("h1", "first")
-
-    def later(pairs: DataFrame) -> DataFrame:
-        """The class of each pair whose first line comes later."""
-        placed = pairs.join(firsts.select(F.col("h1").alias("x"), F.col("first").alias("fx")), "x").join(firsts.select(F.col("h1").alias("y"), F.col("first").alias("fy")), "y")
-        return placed.select(F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x")).alias("h1")).distinct()
-
-    settled = staged(later(_verified(best, sets, tenths)), "settled")
-    # the rest: every earlier class of their lists
-    entries = lists.select(F.explode(F.array(F.struct("token", "h1", "n", "i"), F.struct("token", "leader.h1", "leader.n", "leader.i"))).alias("e")).select("e.*").distinct()
-    entries = staged(entries.join(firsts, "h1").join(maps, "h1"), "entries")
-    open_rows = entries.join(settled, "h1", "left_anti").select("token", F.col("h1").alias("y"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("first").alias("fy"), *(F.col(f"b{k}").alias(f"c{k}") for k in range(MAPS)))
-    apart = (F.col("first") < F.col("fy")) & _possible(F.col("n"), F.col("i"), F.col("m"), F.col("j"), tenths) & _mapped(F.col("n"), F.col("m"), tenths)
-    pairs = open_rows.join(entries, "token").filter(apart)
-    # common tokens up to the last possible one all count, and after it no more can follow than either set has left
-    pairs = pairs.groupBy(F.col("h1").alias("x"), "y").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("i").alias("i"), F.max("j").alias("j"))
-    pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _needed(F.col("n"), F.col("m"), tenths))
-    pairs = pairs.select("x", "y").join(best, ["x", "y"], "left_anti")
-    rest = staged(later(_verified(pairs, sets, tenths)), "rest")
-    similar = settled.unionByName(rest).distinct()
-
-    state = classes.join(similar.withColumn("similar", F.lit(True)), "h1", "left").select("h1", "h2", "first", F.coalesce("similar", F.lit(False)).alias("similar"), "copies")
-    state = staged(state.filter("similar or copies > 1"), "state")
-    discard(lists, best, wanted, sets, settled, entries, rest)
-    frequent = state.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_semi")
-    common = lines.join(F.broadcast(frequent), ["h1", "h2"])
-    seldom = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(state, ["h1", "h2"])
-    gone = common.unionByName(seldom).filter(F.col("similar") | (F.col("first") != place))
-    return gone.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("gone"))
+    keyed = _lines(docs).withColumns({"h1": F.xxhash64("line"), "h2": F.hash("line")})
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), n - _least(n, tenths) + SHARED)
+    lines = staged(with_tokens(keyed, shingle).select("doc_id", "copy", "line_no", "h1", "h2", n.alias("n"), prefix.alias("prefix")), "lines")
+    linked = _linked(lines, tenths)
+    sets = _sets(_lines(docs), linked, shingle)
+    similar = _similar(sets, linked, tenths)
+    # of copies the first stays, unless it goes for its likeness to an earlier line
+    copied = staged(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h1", "h2"), "copied")
+    copies = staged(lines.select("h1", "h2", _place()).join(_broadcast_if_few(copied), ["h1", "h2"]), "copies")
+    firsts = staged(copies.groupBy("h1", "h2").agg(F.min("place").alias("first")), "firsts")
+    later = copies.join(_broadcast_if_few(firsts), ["h1", "h2"]).filter(F.col("place") != F.col("first")).select("place.*")
+    gone = staged(later.unionByName(similar.select("first.*")).groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("gone")), "gone")
+    discard(lines, linked, sets, similar, copied, copies, firsts)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> DataFrame:
     """``docs`` with later matching lines taken out of ``text``, and n_lines and n_removed.
 
     Every row stays, with all its other columns; a text may lose all its lines and is then empty. A null text stays null
-    and has no lines. An empty table stays empty.
+    and has no lines. An empty table stays empty. If ``docs`` has columns called n_lines or n_removed, they stay what
+    they are and underscores are appended to the names of the results.
     """
-    if clash := {"n_lines", "n_removed"} & set(docs.columns):
-        raise ValueError(f"columns with names of results: {', '.join(sorted(clash))}")
-    gone = removed_lines(docs.select("doc_id", "text"), tenths=tenths, shingle=shingle).select(F.col("doc_id").alias("_doc_id"), F.col("copy").alias("_copy"), F.col("gone").alias("_gone"))
-    gone = staged(gone, "gone").hint("shuffle_hash")  # a row for each document that loses lines, small beside the texts, which needn't be sorted then
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_copy")), "left")
+    doc, copy, of_doc, of_copy, gone, n_lines, n_removed = (unused(name, docs.columns) for name in ("_doc", "_copy", "_of_doc", "_of_copy", "_gone", "n_lines", "n_removed"))
+    found = removed_lines(docs.select("doc_id", "text"), tenths=tenths, shingle=shingle).toDF(of_doc, of_copy, gone)
+    keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), copy: F.xxhash64("text")})
+    joined = keyed.join(_broadcast_if_few(found, F.sum(F.size(gone))), F.col(doc).eqNullSafe(F.col(of_doc)) & (F.col(copy) == F.col(of_copy)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))[0])
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))[0])
     number = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    others = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*others, number.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    others = [text.alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*others, number.alias(n_lines), removed.alias(n_removed))

@@ -451,8 +451,25 @@ def test_lines_equal_brute_force(spark, none):
         assert (got[i]["n_lines"], got[i]["n_removed"]) == (len(lines), len(gone[i]))
         assert got[i]["text"] == (None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone[i])) and got[i]["line"] == "z"
     assert linededup.dedup_lines(none).count() == 0
-    with pytest.raises(ValueError, match="n_lines"):
-        linededup.dedup_lines(df.withColumnRenamed("line", "n_lines"))
+
+
+def test_lines_keep_columns_with_clashing_names(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(2, f"{line} end", 10, "a", "b", "c", 5, 6, "h"), (None, line, 11, "a", "b", "c", 5, 6, "h"), (None, None, 12, "a", "b", "c", 5, 6, "h"), (2, f"{line} end", 10, "a", "b", "c", 5, 6, "h")]
+    names = ["doc_id", "text", "n_lines", "_doc", "_copy", "_gone", "line_no", "h1", "token"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, _doc string, _copy string, _gone string, line_no long, h1 long, token string").select(*names)
+    got = linededup.dedup_lines(df)
+    assert got.columns == [*names, "n_lines_", "n_removed"]
+    found = sorted(((r["doc_id"] or 0, r["n_lines"], r["text"], r["n_lines_"], r["n_removed"], r["_gone"]) for r in got.collect()), key=str)
+    assert found == [(0, 11, line, 1, 0, "c"), (0, 12, None, 0, 0, "c"), (2, 10, "", 1, 1, "c"), (2, 10, "", 1, 1, "c")]
+
+
+def test_long_lines_and_rare_tokens(spark):
+    rng = random.Random(3)
+    passage, long = words(rng, 60), words(rng, 30_000)
+    rows = [(i, words(rng, 50) + " " + passage) for i in range(60)] + [(100, long), (101, long.replace(" ", " x ", 9)), (102, passage), (103, passage + " tail")]
+    got = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, n in got.items() if n} == {101, 103}
 
 
 # --- contract -------------------------------------------------------------------------------------------------------
