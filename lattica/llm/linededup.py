@@ -10,7 +10,8 @@ of all tokens, they share k of the first n - ceil(t n) + k and m - ceil(t m) + k
    are joined on tokens, length and positional filters rule out pairs, the others are verified on the whole sets, and
    later lines that match are removed.
 
-In a posting list each class first meets the list's earliest one only, which settles nearly every member of a large group
+Documents that are copies of an earlier one lose all their lines and aren't looked into, as far as a bounded table of the
+texts that occur most often tells. In a posting list each class first meets the list's earliest one only, which settles nearly every member of a large group
 of near copies without listing the group's pairs. Classes that stay unmatched meet all earlier members of their lists.
 Frequent tokens are combined before they are shuffled, and joins on tokens are plain equi-joins that adaptive execution
 splits, so no list has to fit in one task.
@@ -25,10 +26,24 @@ from lattica.llm.common import discard, staged, unused
 
 #: The most rows that are broadcast, of a few numbers each; beyond it a shuffle takes over.
 BROADCAST_ROWS = 1_000_000
+#: The most texts whose copies are set aside at once.
+COPIED_TEXTS = 500_000
 #: How many tokens of the prefixes in the order of hashes two similar lines share (k).
 SHARED = 4
 
 
+def _order(doc_id: Column) -> Column:
+    """Ids in their order, null first, as numbers that can be compared; the smallest of all long numbers isn't told from null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
+
+
+def _frequent_texts(docs: DataFrame) -> DataFrame:
+    """text_hash, text_size and text_first (the smallest id by ``_order``) of texts that several rows hold, with a bounded number of rows."""
+    keys = docs.filter("text is not null").select(F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("text_size"), _order(F.col("doc_id")).alias("id"))
+    texts = keys.groupBy("text_hash", "text_size").agg(F.min("id").alias("text_first"), F.count(F.lit(1)).alias("copies"))
+    return staged(texts.filter(F.col("copies") > max(1, docs.count() // COPIED_TEXTS)).drop("copies"), "texts")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line that has words: doc_id, copy (hash of the text), line_no and line."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.split("text", "\n").alias("lines"))
@@ -88,28 +103,34 @@ def _linked(lines: DataFrame, tenths: int) -> DataFrame:
     return linked
 
 
-def _sets(lines: DataFrame, linked: DataFrame, shingle: int) -> DataFrame:
-    """h1, n and tokens of the classes whose first lines are in ``linked``."""
-    at = linked.select("h1", F.col("first.doc_id").alias("d"), F.col("first.copy").alias("c"), F.col("first.line_no").alias("l"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")) & (F.col("line_no") == F.col("l"))
-    picked = lines.join(_broadcast_if_few(at), same).select("h1", "line")
-    return staged(with_tokens(picked, shingle).select("h1", F.size("tokens").alias("n"), "tokens"), "sets")
+def _sets(docs: DataFrame, linked: DataFrame, shingle: int) -> DataFrame:
+    """h1, first, n and tokens of the ``linked`` classes."""
+    wanted = F.sort_array(F.collect_set(F.struct("first.line_no", "h1"))).alias("wanted")  # a document's lines at most
+    places = staged(linked.groupBy("first.doc_id", "first.copy").agg(wanted), "places")
+    at = places.toDF("d", "c", "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    picked = texts.join(_broadcast_if_few(at, F.sum(F.size("wanted"))), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
+    picked = picked.select("doc_id", "copy", F.split("text", "\n").alias("lines"), "wanted").select("doc_id", "copy", "lines", F.explode("wanted").alias("w"))
+    first = F.struct("doc_id", "copy", "w.line_no").alias("first")
+    lines = picked.select("w.h1", first, F.get("lines", F.col("w.line_no")).alias("line"))
+    sets = staged(with_tokens(lines, shingle).select("h1", "first", F.size("tokens").alias("n"), "tokens"), "sets")
+    discard(places)
+    return sets
 
 
 def _entries(sets: DataFrame, tenths: int) -> DataFrame:
-    """h1, n, token and i (its place) of the prefixes of the classes, the rarest tokens first; tokens of one class alone come first of all and are left out."""
-    rows = sets.select("h1", "n", F.explode("tokens").alias("token"))
+    """h1, first, n, token and i (its place) of the prefixes of the classes, the rarest tokens first; tokens of one class alone come first of all and are left out."""
+    rows = sets.select("h1", F.explode("tokens").alias("token"))
     frequency = rows.groupBy("token").agg(F.count(F.lit(1)).alias("frequency")).filter("frequency > 1")
-    own = Window.partitionBy("h1")
-    alone = F.col("n") - F.count(F.lit(1)).over(own)
-    found = rows.join(frequency, "token").withColumns({"alone": alone, "rank": F.row_number().over(own.orderBy("frequency", "token"))})
-    found = found.withColumn("i", (F.col("alone") + F.col("rank") - 1).cast("int"))
-    return found.filter(F.col("i") <= F.col("n") - _least(F.col("n"), tenths)).select("h1", "n", "i", "token")
+    from_end = F.row_number().over(Window.partitionBy("h1").orderBy(F.desc("frequency"), F.desc("token")))
+    found = rows.join(frequency, "token").select("h1", "token", from_end.alias("from_end")).join(_broadcast_if_few(sets.select("h1", "first", "n")), "h1")
+    found = found.filter(F.col("from_end") >= _least(F.col("n"), tenths))
+    return found.select("h1", "first", "n", (F.col("n") - F.col("from_end")).alias("i"), "token")
 
 
-def _similar(sets: DataFrame, linked: DataFrame, tenths: int) -> DataFrame:
+def _similar(sets: DataFrame, tenths: int) -> DataFrame:
     """h1 and first of the classes of ``sets`` that are similar to an earlier one."""
-    entries = staged(_entries(sets, tenths).join(_broadcast_if_few(linked), "h1"), "entries")
+    entries = staged(_entries(sets, tenths), "entries")
     earlier = entries.select(*(F.col(c).alias(f"e_{c}") for c in ("h1", "first", "n", "i")), "token")
     possible = (F.col("e_first") < F.col("first")) & _possible(F.col("n"), F.col("i"), F.col("e_n"), F.col("e_i"), tenths)
 
@@ -122,7 +143,7 @@ def _similar(sets: DataFrame, linked: DataFrame, tenths: int) -> DataFrame:
     pairs = pairs.groupBy(F.col("e_h1").alias("x"), F.col("h1").alias("y")).agg(F.count(F.lit(1)).alias("c"), *(F.max(c).alias(c) for c in ("n", "i", "e_n", "e_i")))
     pairs = pairs.filter(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("e_n") - F.col("e_i")) - 1 >= _needed(F.col("n"), F.col("e_n"), tenths))
     rest = _verified(staged(pairs.select("x", "y").join(led, ["x", "y"], "left_anti"), "pairs"), sets, tenths)
-    similar = staged(linked.join(settled.unionByName(rest).distinct(), "h1"), "similar")
+    similar = staged(sets.select("h1", "first").join(settled.unionByName(rest).distinct(), "h1"), "similar")
     discard(entries, led, settled)
     return similar
 
@@ -148,15 +169,19 @@ def removed_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> Data
     prefix = F.slice("tokens", F.lit(1), n - _least(n, tenths) + SHARED)
     lines = staged(with_tokens(keyed, shingle).select("doc_id", "copy", "line_no", "h1", "h2", n.alias("n"), prefix.alias("prefix")), "lines")
     linked = _linked(lines, tenths)
-    sets = _sets(_lines(docs), linked, shingle)
-    similar = _similar(sets, linked, tenths)
+    sets = _sets(docs, linked, shingle)
+    similar = _similar(sets, tenths)
     # of copies the first stays, unless it goes for its likeness to an earlier line
-    copied = staged(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h1", "h2"), "copied")
-    copies = staged(lines.select("h1", "h2", _place()).join(_broadcast_if_few(copied), ["h1", "h2"]), "copies")
-    firsts = staged(copies.groupBy("h1", "h2").agg(F.min("place").alias("first")), "firsts")
-    later = copies.join(_broadcast_if_few(firsts), ["h1", "h2"]).filter(F.col("place") != F.col("first")).select("place.*")
-    gone = staged(later.unionByName(similar.select("first.*")).groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("gone")), "gone")
-    discard(lines, linked, sets, similar, copied, copies, firsts)
+    copied = lines.groupBy("h1", "h2").agg(F.min(_order(F.col("doc_id"))).alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    copied = staged(copied.drop("copies"), "copied")
+    copies = lines.join(_broadcast_if_few(copied), ["h1", "h2"])
+    later = copies.filter(_order(F.col("doc_id")) > F.col("first_id")).select("doc_id", "copy", "line_no")
+    ties = staged(copies.filter(_order(F.col("doc_id")) == F.col("first_id")).select("h1", "h2", _place()), "ties")
+    firsts = staged(ties.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("lines")).filter("lines > 1").drop("lines"), "firsts")
+    again = ties.join(_broadcast_if_few(firsts), ["h1", "h2"]).filter(F.col("place") != F.col("first")).select("place.*")
+    found = later.unionByName(again).unionByName(similar.select("first.*"))
+    gone = staged(found.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("gone")), "gone")
+    discard(lines, linked, sets, similar, copied, ties, firsts)
     return gone
 
 
@@ -167,14 +192,22 @@ def dedup_lines(docs: DataFrame, *, tenths: int = 8, shingle: int = 5) -> DataFr
     and has no lines. An empty table stays empty. If ``docs`` has columns called n_lines or n_removed, they stay what
     they are and underscores are appended to the names of the results.
     """
-    doc, copy, of_doc, of_copy, gone, n_lines, n_removed = (unused(name, docs.columns) for name in ("_doc", "_copy", "_of_doc", "_of_copy", "_gone", "n_lines", "n_removed"))
-    found = removed_lines(docs.select("doc_id", "text"), tenths=tenths, shingle=shingle).toDF(of_doc, of_copy, gone)
+    names = ("_doc", "_copy", "_size", "_first", "_of_doc", "_of_copy", "_gone", "n_lines", "n_removed")
+    doc, copy, size, first, of_doc, of_copy, gone, n_lines, n_removed = (unused(name, docs.columns) for name in names)
+    texts = _frequent_texts(docs).withColumnsRenamed({"text_hash": of_copy, "text_size": size, "text_first": first})
     keyed = docs.withColumns({doc: F.col("doc_id").cast("long"), copy: F.xxhash64("text")})
+    keyed = keyed.join(F.broadcast(texts), (F.col(copy) == F.col(of_copy)) & (F.octet_length("text") == F.col(size)), "left").drop(of_copy, size)
+    again = F.coalesce(F.col(first) < _order(F.col(doc)), F.lit(False))
+    found = removed_lines(keyed.filter(~again).select("doc_id", "text"), tenths=tenths, shingle=shingle).toDF(of_doc, of_copy, gone)
     joined = keyed.join(_broadcast_if_few(found, F.sum(F.size(gone))), F.col(doc).eqNullSafe(F.col(of_doc)) & (F.col(copy) == F.col(of_copy)), "left")
+
     lines = F.split("text", "\n")
+    blank = F.filter(lines, lambda line: F.trim(line) == "")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))[0])
-    number = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    text = F.transform(F.array(lines), lambda all_lines: F.array_join(F.transform(kept, lambda i: F.get(all_lines, i)), "\n"))[0]
+    text = F.when(again, F.array_join(blank, "\n")).when(F.col(gone).isNotNull(), text).otherwise(F.col("text"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    number = F.coalesce(feeds + 1, F.lit(0)).cast("long")
+    removed = F.when(again, F.size(lines) - F.size(blank)).otherwise(F.coalesce(F.size(gone), F.lit(0))).cast("long")
     others = [text.alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns]
     return joined.select(*others, number.alias(n_lines), removed.alias(n_removed))
