@@ -24,7 +24,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, end_id: int =
     """Writes doc_id, local_start (ids before it in its file), n_tokens and ids, with ``end_id`` closing each document.
 
     Texts are dealt out by ranges of doc_id and sorted before they are encoded, so no ids are shuffled. Null texts
-    count as empty, rows with a null doc_id come first, and repeated rows are written as often as they occur.
+    count as empty, rows with a null doc_id come first, and repeated rows are written as often as they occur. Each task
+    writes one file, whatever the session says of records in a file: places are counted within files.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +43,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, *, end_id: int =
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes), "compression": "zstd"}
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": str(index_stride), "orc.stripe.size": str(stripe_bytes), "compression": "zstd", "maxRecordsPerFile": "0"}
     ordered.mapInArrow(encode, STORED).write.options(**options).orc(path)
 
 

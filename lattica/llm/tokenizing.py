@@ -1,15 +1,17 @@
 """Token ids by the ``tokenizers`` library, with one library call for each distinct chunk of text.
 
 Both vocabularies split a text before they merge, and never across the chunk boundaries used here, so the ids of a
-text are those of its chunks in a row. A worker keeps the ids of the chunks it has met (up to ``max_chunks``, then it
-starts afresh: some 200 MB), which saves most of the merging: words repeat far more often than texts.
+text are those of its chunks in a row. A worker keeps the ids of the chunks it has met, up to ``max_chunks`` (some 200
+MB); then it forgets those that it met last, as frequent ones come early. That saves most of the merging: words repeat
+far more often than texts. A new word is encoded with many others in one call, and a word with punctuation after it is
+the two put in a row. Texts that spell a special token, and texts with unusual white space, are encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 
@@ -18,10 +20,14 @@ LEADING_BLANK = r" ?[^\s]+|\s+(?!\S)|\s+"
 #: Chunks: runs of non-blank characters, where the vocabulary drops white space.
 NO_BLANK = r"[^ \t\n\r]+"
 #: White space on which regular expression libraries differ; texts that hold any are encoded in one piece.
-UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
+UNUSUAL = "\x1c\x1d\x1e\x1f", "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x2010)))
 
-#: White space that plain splits wouldn't do justice to, and the character that they use.
-INTRICATE = re.compile(r"\s\s|[\t\r\x0b\x0c\0]")
+#: White space that plain splits wouldn't do justice to, and the character that they use; beside usual white space only.
+INTRICATE = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\0")
+#: Letters that are one word in any splitting and have lower-case forms of one letter each.
+LETTERS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+#: Marks that are one token group after letters: ASCII punctuation without the apostrophe.
+MARKS = r"[!-&(-/:-@\[-`{-~]+"
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
@@ -32,47 +38,77 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # a text that spells a special token is still ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.find = re.compile(pattern).findall
-        self.split = self._split_leading if pattern == LEADING_BLANK else str.split if pattern == NO_BLANK else self.find
+        self.leading = pattern == LEADING_BLANK
+        self.split = self._split_leading if self.leading else str.split if pattern == NO_BLANK else self.find
         self.max_chunks = max_chunks
-        # between chunks that begin with a blank a line feed is a token, between others a control character with blanks around it
-        self.separator = "\n" if pattern == LEADING_BLANK else " \x01 "
-        got = self.library.encode(self.separator, add_special_tokens=False).ids
-        self.separator_id = got[0] if len(got) == 1 else None
-        self.forget()
-
-    def joinable(self, chunk: str) -> bool:
-        """Whether a separator beside the chunk leaves its ids as they are."""
-        if self.separator_id is None or UNUSUAL.search(chunk):
-            return False
-        return chunk[0] == " " and len(chunk) > 1 and "\n" not in chunk and chunk[1] != " " if self.separator == "\n" else "\x01" not in chunk
+        blank = " " if self.leading else ""
+        self.parts = re.compile(f"({blank}{LETTERS})({MARKS})?").fullmatch
+        # the ids that begin a word with a blank before it, or else those that end a word
+        self.edges = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in self.library.get_vocab().items():
+            self.edges[i] = token.startswith("\u0120") if self.leading else token.endswith("</w>")
+        self.forget(0)
+
+    def in_one_piece(self, text: str) -> bool:
+        """Whether the text has white space on which splits differ, or a special token."""
+        ascii_marks, others = UNUSUAL
+        return any(c in text for c in ascii_marks) or not text.isascii() and any(c in text for c in others) or any(t in text for t in self.special)
 
     def _split_leading(self, text: str) -> list[str]:
         """The chunks of ``LEADING_BLANK``; where single blanks and line feeds are all the white space, by plain splits."""
-        if INTRICATE.search(text):
+        if any(x in text for x in INTRICATE):
             return self.find(text)
         found = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return found[not found[0] : len(found) - (not found[-1])] if len(found) > 1 else found if text else []
 
-    def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+    def forget(self, keep: int) -> None:
+        """All chunks but the ``keep`` that were met first."""
+        slots = dict(islice(self.slots.items(), keep)) if keep else {}
+        if not slots:
+            self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+            self.flat = np.zeros(1 << 18, np.int32)
+        self.slots = slots
+        self.used = int(self.starts[len(slots) - 1] + self.lengths[len(slots) - 1]) if slots else 0
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes new chunks, many in one text with a separator in between where the separator stays a token of its own."""
-        plain = [c for c in chunks if self.joinable(c)]
-        for at in range(0, len(plain), 1024):
-            some = plain[at : at + 1024]
-            ids = np.array(self.library.encode_batch_fast([self.separator.join([*some, ""])], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.flatnonzero(ids == self.separator_id)
-            if len(ends) != len(some):
-                raise RuntimeError("a separator was merged with a chunk")
-            self._keep(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
-        others = [c for c in chunks if not self.joinable(c)]
-        for at in range(0, len(others), 512):
-            some = others[at : at + 512]
+        """Keeps the ids of new chunks."""
+        tailed, pairs, words, others = [], [], {}, {}
+        for chunk in chunks:
+            got = self.parts(chunk)
+            if got is None:
+                others[chunk] = None
+                continue
+            word, marks = got.groups()
+            if marks:
+                tailed.append(chunk)
+                pairs += word, marks
+                if marks not in self.slots:
+                    others[marks] = None
+            if word not in self.slots:
+                words[word] = None
+        self._learn_words(list(words))
+        self._learn_others(list(others))
+        if tailed:
+            slots = np.fromiter(map(self.slots.__getitem__, pairs), np.int64, len(pairs))
+            self._keep(tailed, self._ids(slots), self.lengths[slots].reshape(-1, 2).sum(axis=1))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encodes words many in a row: the edges show where each of them begins or ends."""
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            ids = np.array(self.library.encode_batch_fast([("" if self.leading else " ").join(some)], add_special_tokens=False)[0].ids, np.int32)
+            edges = np.flatnonzero(self.edges[ids])
+            if len(edges) == len(some):
+                lengths = np.diff(edges, append=len(ids)) if self.leading else np.diff(edges, prepend=-1)
+                self._keep(some, ids, lengths)
+            else:
+                self._learn_others(some)
+
+    def _learn_others(self, chunks: list[str]) -> None:
+        for at in range(0, len(chunks), 512):
+            some = chunks[at : at + 512]
             lists = [got.ids for got in self.library.encode_batch_fast(some, add_special_tokens=False)]
             self._keep(some, np.array([i for ids in lists for i in ids], np.int32), np.array([len(ids) for ids in lists]))
 
@@ -92,11 +128,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row (int32), and how many each text has."""
         if len(self.slots) > self.max_chunks:
-            self.forget()
+            self.forget(self.max_chunks // 2)
         chunks: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            found = [text] if UNUSUAL.search(text) else self.split(text)
+            found = [text] if self.in_one_piece(text) else self.split(text)
             counts[i] = len(found)
             chunks += found
         slots = np.fromiter(map(self.slots.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -104,12 +140,15 @@ class ChunkEncoder:
         if missing:
             self._learn(list(dict.fromkeys(chunks[i] for i in missing)))
             slots[missing] = [self.slots[chunks[i]] for i in missing]
+        bounds = np.concatenate([[0], np.cumsum(self.lengths[slots])])[np.concatenate([[0], np.cumsum(counts)])]
+        return self._ids(slots), np.diff(bounds)
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of these chunks in a row."""
         lengths = self.lengths[slots]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        return self.flat[np.repeat(self.starts[slots] - (ends - lengths), lengths) + np.arange(total)]
 
 
 def encoder(path: str, pattern: str) -> ChunkEncoder:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force on small frames, with nulls, empty and long texts, ties, copies and clashing columns."""
 
+import functools
 import hashlib
 import random
 import re
@@ -10,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from lattica.llm import boosting, chat, linededup, media, mixing, packing, queries, secrets, simhash, token_orc, tokenizing, topk, toxicity
 from lattica.llm.common import shared_dir
@@ -45,12 +47,15 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def ids_of(path, text):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(path)
+
+
+def ids_of(path, text):
+    return [*library(path).encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):
@@ -65,6 +70,9 @@ def test_chunks_give_the_library_s_ids(path, pattern):
     rng = random.Random(3)
     texts = ["", " ", "  a  b ", "a\n\n b\t\tc \n", "it's  'll x", "\x01 a \x01", "ab́ c", "İstanbul ΣΑΣ Σ", "x" * 3000, "日本語 テスト。", "a\r\nb", "<|endoftext|> a", "a\x85b\xa0c", "end  "]
     texts += ["".join(rng.choice("ab1 \n\t'.,sé \x1c Z \x01") for _ in range(rng.randint(0, 60))) for _ in range(500)]
+    texts += ["a  <|endoftext|> b<|endoftext|>c", "<|startoftext|><|endoftext", "one, two. three### ΣΑΣ. don't. don'ts, İx. ŉa. e\u0301. e.\u0301", "a\u0344. A_b. $x$ a--b"]
+    texts += [" ".join(rng.choice(["wörd", "Word", "x", "Ünïted", "don't", "it's", "a", "the", "İ", "ǆ", "ß", "日本"]) + rng.choice(["", "", ".", ",", "!?", "###", "'", "_", "$$", "1", "\n"]) for _ in range(40)) for _ in range(200)]
+    texts += ["word" * 100_000, "many words, " * 20_000]
     coder = tokenizing.ChunkEncoder(path, pattern, max_chunks=50)
     for some in (texts, texts[:7]):
         ids, lengths = coder.encode(some)
@@ -407,6 +415,15 @@ def test_token_orc(spark, docs, rows, none):
     some = token_orc.read_token_orc(spark, path, [5, 7])
     assert {r["doc_id"]: r["ids"] for r in some.collect()} == {i: ids_of(WORD, rows[i][1]) for i in (5, 7)}
     assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        twice = docs.unionByName(docs.filter("doc_id in (8, 9)")).withColumns({"local_start": F.lit("x"), "ids": F.lit(1)})
+        token_orc.write_token_orc(twice, f"{path}-again", WORD)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    places = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in token_orc.token_index(spark, f"{path}-again").collect())
+    assert [p[0] for p in places] == [0, *np.cumsum([p[1] for p in places])[:-1].tolist()]
+    assert [p[2] for p in places] == sorted([i for i, *_ in rows] + [8, 9])
     token_orc.write_token_orc(none, f"{path}-none", WORD)
     assert token_orc.token_index(spark, f"{path}-none").count() == 0
 
