@@ -65,15 +65,19 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_best_fit_packing, op3_pe
 
 ORACLES = {
     "op3_perspective_rotation": """
-        WITH rows_ AS (
-            SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS segment, turn, role, text,
-                   row_number() OVER (PARTITION BY conv_id, CAST(floor(turn / 1024) AS BIGINT) ORDER BY turn, role, text) AS k
+        WITH safe AS (
+            SELECT conv_id, coalesce(turn, 0) AS turn, replace(replace(role, '<|im_', '<| im_'), chr(10), ' ') AS role,
+                   replace(coalesce(text, ''), '<|im_', '<| im_') AS text
             FROM conversations),
-        speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM rows_ WHERE role <> 'system'),
+        rows_ AS (
+            SELECT conv_id, CAST(floor(turn / 1024) AS BIGINT) AS segment, turn, role, text,
+                   row_number() OVER (PARTITION BY conv_id, CAST(floor(turn / 1024) AS BIGINT) ORDER BY turn, role NULLS FIRST, text) AS k
+            FROM safe),
+        speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM rows_ WHERE role IS DISTINCT FROM 'system'),
         shown AS (
-            SELECT r.conv_id, s.perspective, r.segment, r.k, r.text, r.role = s.perspective AS own,
-                   '<|im_start|>' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system' ELSE 'user name=' || r.role END || chr(10) AS head
-            FROM rows_ r JOIN speakers s ON r.conv_id = s.conv_id),
+            SELECT r.conv_id, s.perspective, r.segment, r.k, r.text, r.role IS NOT DISTINCT FROM s.perspective AS own,
+                   '<|im_start|>' || CASE WHEN r.role IS NOT DISTINCT FROM s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system' ELSE 'user name=' || coalesce(r.role, 'unknown') END || chr(10) AS head
+            FROM rows_ r JOIN speakers s ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
         placed AS (
             SELECT *, coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, segment ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS begin_at
             FROM shown)

@@ -26,7 +26,9 @@ SECOND_PERSON = frozenset("you your yours yourself u ya thou thee du dich dir de
 #: Characters that stand in for letters.
 STAND_INS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 WORD = re.compile(r"[^\W\d_]+")
-ODD = re.compile(r"(?<!\S)(?=\S*[^\W\d_]\S*[\d@$!*|._-]+[^\W_])\S{3,40}(?!\S)")
+#: What a run of non-blanks of bounded length looks like if characters stand in for letters, or lie between them.
+ODD = re.compile(r"[^\W\d_]\S*[\d@$!*|._-]+[^\W_]")
+ODD_SIZES = range(3, 41)
 MARKS = re.compile(r"[^\w\s]")
 STEM, STEM_FROM, NEAR = 5, 6, 8
 FEATURES = ("hits", "stem_hits", "heaviest", "weight", "density", "stem_density", "hidden_hits", "nearness", "you", "capitals", "shouted", "marks", "cries", "odd", "digits", "long", "words")
@@ -44,12 +46,16 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     get = lexicon.get
     hits = [(i, v) for i, w in enumerate(words) if (v := get(w))]
     stems = [(i, v) for i, w in enumerate(words) if len(w) >= STEM_FROM and (v := get(w[:STEM] + "-"))]
-    odd = ODD.findall(text)
+    odd = [w for w in text.split() if not w.isalpha() and len(w) in ODD_SIZES and ODD.search(w)]
     hidden = sum(1 for w in odd if get(re.sub(r"[^a-zà-ÿ]", "", w.lower().translate(STAND_INS))) and not get(w.lower()))
     you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     both = hits + stems
-    at = np.array(you)
-    near = sum(1 for i, _ in both if len(at) and np.abs(at - i).min() <= NEAR) if both and you else 0
+    near = 0
+    if both and you:
+        at = np.array([-len(words) - NEAR, *you, 2 * len(words) + NEAR])
+        places = np.array([i for i, _ in both])
+        after = np.searchsorted(at, places)
+        near = int((np.minimum(at[after] - places, places - at[after - 1]) <= NEAR).sum())
     weight = sum(v for _, v in both)
     upper = sum(map(str.isupper, text)) if not text.islower() else 0
     marks = len(MARKS.findall(text))
