@@ -132,12 +132,41 @@ def _place(columns: Sequence[Column]) -> Column:
     return F.struct(*(f.alias(f"_{2 * i + k}") for i, c in enumerate(columns) for k, f in enumerate((c.isNull(), c))))
 
 
-def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 64) -> DataFrame:
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, with as many underscores appended as make it differ from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def value_bounds(df: DataFrame, keys: Sequence[str], ranges: int) -> list[tuple]:
+    """Bounds between ``ranges`` ranges of the columns ``keys``, drawn from a sample of so many rows."""
+    drawn = df.select(*map(quoted, keys)).orderBy(F.rand(1)).limit(ranges - 1)
+    return [tuple(r) for r in drawn.distinct().orderBy(*order_columns(list(keys))).collect()]
+
+
+def range_of(keys: Sequence[str], df: DataFrame, bounds: list[tuple]) -> Column:
+    """The number of a row's range (from 0), by its own values alone."""
+    kinds = [df.schema[k].dataType for k in keys]
+    own = _place([quoted(k) for k in keys])
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        bound = _place([F.lit(v).cast(t) for v, t in zip(bounds[middle], kinds, strict=True)])
+        return F.when(own <= bound, search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
+
+
+def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int | None = None) -> DataFrame:
     """Adds 1..n in ``order`` (column names), without bringing all rows into one task.
 
-    Bounds between ``buckets`` ranges of the order are drawn once, from a sample of as many rows; a row's range depends on
-    its own values alone. Rows are numbered within ranges, from the sum of the sizes of the ranges before. ``order``
-    should be total, or the numbers of tied rows differ between runs.
+    Rows are numbered within ranges of the order, from the sum of the sizes of the ranges before. There are ``buckets``
+    ranges, by default one for a million rows and from 64 to 2,048; a row's range depends on its own values alone. Rows
+    that tie go by a hash of all their values, so only equal rows can change places between runs.
     """
     if name in batch_only(df, "with_row_id").columns:
         raise ValueError(f"a column is already called {name}.")
@@ -145,25 +174,52 @@ def with_row_id(df: DataFrame, order, name: str = "row_id", buckets: int = 64) -
     keys = [order] if isinstance(order, str) else list(order)
     if not all(isinstance(k, str) for k in keys):
         raise ValueError("row numbers need `order=` as column names.")
-    resolve_cols(df, keys)
-    drawn = df.select(*map(quoted, keys)).orderBy(F.rand(1)).limit(buckets - 1)
-    bounds = [tuple(r) for r in drawn.distinct().orderBy(*order_columns(keys)).collect()]
-    kinds = [df.schema[k].dataType for k in keys]
-
-    def bucket(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        bound = _place([F.lit(v).cast(t) for v, t in zip(bounds[middle], kinds, strict=True)])
-        return F.when(F.col("_own") <= bound, bucket(low, middle)).otherwise(bucket(middle + 1, high))
-
-    placed = df.withColumn("_own", _place([quoted(k) for k in keys])).withColumn("_bucket", bucket(0, len(bounds)))
+    keys = resolve_cols(df, keys)
+    buckets = buckets or min(2048, max(64, df.count() // 1_000_000))
+    tied = df.withColumn("_tie", F.xxhash64(*map(quoted, (f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))))
+    bounds = value_bounds(tied, [*keys, "_tie"], buckets)
+    placed = tied.withColumn("_bucket", range_of([*keys, "_tie"], tied, bounds))
     sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))  # a row for each range
     before = sizes.select("_bucket", F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_columns(keys))) + F.col("_before")
+    number = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order_columns([*keys, "_tie"]))) + F.col("_before")
     return placed.join(F.broadcast(before), "_bucket").withColumn(name, number).select(*map(quoted, df.columns), name)
 
 
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], few: int = 1_000_000) -> list[float] | None:
+    """Quantiles with linear interpolation, NULL left out; None without values.
+
+    Up to ``few`` values are counted in one aggregate. Of more, approximate quantiles bracket each place, again and
+    again until that few values lie in between, so no buffer grows with the table.
+    """
+    values = df.select(quoted(column).cast("double").alias("v")).filter("v is not null")
+    n = values.count()
+    if n <= few:
+        return values.agg(F.percentile("v", [float(p) for p in probs])).first()[0]
+
+    def at(place: int) -> float:
+        """The value at a place (from 0)."""
+        inside, below, total, slack = values, 0, n, 3e-4
+        while total > few:
+            share = (place - below) / total
+            a, b = inside.agg(F.percentile_approx("v", [max(0.0, share - slack), min(1.0, share + slack)], 10_000)).first()[0]
+            less, low, between, high = inside.agg(*(F.count_if(c) for c in (F.col("v") < a, F.col("v") == a, (F.col("v") > a) & (F.col("v") < b), (F.col("v") == b) & F.lit(a != b)))).first()
+            rank = place - below - less
+            if not 0 <= rank < low + between + high:
+                slack *= 4
+                continue
+            if not low <= rank < low + between:
+                return a if rank < low else b
+            inside, below, total, slack = inside.filter((F.col("v") > a) & (F.col("v") < b)), below + less + low, between, 3e-4
+        return inside.agg(F.get(F.sort_array(F.collect_list("v")), F.lit(place - below))).first()[0]
+
+    out = []
+    for p in probs:
+        place = p * (n - 1)
+        low = at(int(place))
+        out.append(low + (at(int(place) + 1) - low) * (place - int(place)) if place > int(place) else low)
+    return out
+
+
 def clean_names(names: Sequence[str], method: str = "unique") -> list[str]:
     """Names in lower case with underscores, made unique with _1, _2 (``universal``: also syntactic; ``minimal``: as they are)."""
     import re

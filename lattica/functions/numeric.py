@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.core import as_column, one_col, quoted
+from lattica.core import as_column, exact_quantiles, one_col, quoted
 
 
 def _with_statistics(df: DataFrame, column: str, name: str | None, statistics: dict[str, Column], value: Callable[..., Column]) -> DataFrame:
@@ -42,7 +42,9 @@ def center(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
 def winsorize(df: DataFrame, column: str, probs: tuple[float, float] = (0.01, 0.99), name: str | None = None) -> DataFrame:
     """Clamped to two quantiles (linear interpolation)."""
     c = quoted(one_col(df, column, "column"))
-    return _with_statistics(df, column, name, {"lo": F.percentile(c, probs[0]), "hi": F.percentile(c, probs[1])}, lambda x, lo, hi: clamp(x, lo, hi))
+    lo, hi = exact_quantiles(df, column, probs) or (None, None)
+    target = name or column
+    return df.withColumn(target, c if lo is None else clamp(c.cast("double"), F.lit(lo), F.lit(hi)))
 
 
 def clamp(c, lower=None, upper=None) -> Column:
@@ -58,7 +60,7 @@ def clamp(c, lower=None, upper=None) -> Column:
 def quantilegroup(df: DataFrame, column: str, n: int = 5, name: str | None = None, labels: bool = True) -> DataFrame:
     """The group of each value between n + 1 quantiles, closed at the right, the least included: ``(a,b]`` or its number from 1."""
     c = quoted(one_col(df, column, "column"))
-    breaks = df.agg(F.percentile(c, [i / n for i in range(n + 1)])).first()[0]
+    breaks = exact_quantiles(df, column, [i / n for i in range(n + 1)])
     if breaks is None or len(set(breaks)) < n + 1:
         raise ValueError("quantiles are not distinct.")
     text = [f"{b:.3g}" for b in breaks]

@@ -7,6 +7,7 @@ references such as ``\\\\1`` are understood. With ``fixed`` a pattern is literal
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +19,10 @@ from lattica.core import as_column, order_columns
 CLASSES = {"alpha": r"\p{L}", "digit": r"\p{Nd}", "alnum": r"\p{L}\p{Nd}", "space": r"\s", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "punct": r"\p{Punct}", "blank": r" \t", "xdigit": r"0-9A-Fa-f", "cntrl": r"\p{Cntrl}"}
 #: Words that titles keep small.
 SMALL_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "en", "for", "if", "in", "is", "nor", "not", "of", "on", "or", "per", "so", "the", "v[.]?", "via", "vs", "from", "into", "than", "that", "to", "with")
-#: Letters with marks, and the plain ones.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+#: Letters that Unicode doesn't take apart, and what stands for them.
+STROKED = {"ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ı": "i", "ĸ": "k", "ŋ": "n", "Ŋ": "N"}
+#: Letters that are a Latin letter with marks.
+MARKED = {c: d[0] for c in map(chr, range(0xC0, 0x2000)) if (d := unicodedata.normalize("NFD", c))[0].isascii() and len(d) > 1 and all(map(unicodedata.combining, d[1:]))}
 WHITE = "[ \\t\\r\\n]"
 
 
@@ -224,11 +226,13 @@ def isblank(c) -> Column:
 
 
 def removeaccents(c) -> Column:
-    """Letters without their marks."""
-    text = F.translate(as_column(c), MARKED, PLAIN)
-    for mark, plain in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE")):
-        text = F.replace(text, F.lit(mark), F.lit(plain))
-    return text
+    """Latin letters without their marks, in plain ASCII; combining marks go. Letters of other scripts stay."""
+    single = MARKED | {k: v for k, v in STROKED.items() if len(v) == 1}
+    text = F.translate(as_column(c), "".join(single), "".join(single.values()))
+    for mark, plain in STROKED.items():
+        if len(plain) > 1:
+            text = F.replace(text, F.lit(mark), F.lit(plain))
+    return F.regexp_replace(text, r"[\u0300-\u036f]", "")
 
 
 transliterate = removeaccents

@@ -57,7 +57,10 @@ def percentrank(c, by: Names | None = None) -> Column:
 
 
 def cumedist(c, *, order, by: Names | None = None) -> Column:
-    """Distinct values so far over the number of rows so far (not SQL's CUME_DIST)."""
+    """Distinct values so far over the number of rows so far (not SQL's CUME_DIST).
+
+    As a Column it keeps the set of values so far; ``running_distinct`` adds the same without sets and suits long groups.
+    """
     x = as_column(c)
     spec = window(by, order)
     # a row brings something new if its value's first row number is its own: kept as a set of first places
@@ -115,9 +118,10 @@ rollvar = _rolling("rollvar", F.var_samp)
 
 
 def rollapply(c, width: int, fun: Callable[[Column], Column], align: str = "right", fill=None, partial: bool = False, *, order, by: Names | None = None) -> Column:
-    """``fun`` over the array of each window's values that aren't NULL."""
+    """``fun`` over the array of each window's values, NULL among them."""
     x, spec = as_column(c), window(by, order).rowsBetween(*_bounds(width, align))
-    out = fun(F.collect_list(x).over(spec))
+    held = F.collect_list(F.struct(x.alias("v"))).over(spec)  # a list leaves out NULL, but not a row that holds it
+    out = fun(F.transform(held, lambda one: one["v"]))
     return out if partial else F.when(F.count(F.lit(1)).over(spec) == width, out).otherwise(F.lit(fill))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.core import Names, as_table, is_blank, is_missing, quoted, resolve_cols, with_row_id
+from lattica.core import Names, as_table, exact_quantiles, is_blank, is_missing, quoted, resolve_cols, with_row_id
 from lattica.functions.distributions import chi_squared, welch
 
 #: Spark types in the words of the reports: class and storage type.
@@ -89,13 +89,15 @@ def describe(df: DataFrame, cols: Names | None = None, top_n: int = 3) -> DataFr
         aggs += [F.count_if(is_missing(df, c)).alias(f"m{i}"), distinct_n(quoted(c)).alias(f"d{i}")]
         if _is_number(df, c):
             v = x.cast("double")
-            aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"), F.percentile(v, [0.0, 0.25, 0.5, 0.75, 1.0]).alias(f"q{i}")]
+            aggs += [F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}")]
     one = df.agg(*aggs).first()
     rows = []
     for i, c in enumerate(found):
         number = _is_number(df, c)
         n, gone = one["_rows"], one[f"m{i}"]
-        q = list(one[f"q{i}"] or [None] * 5) if number else [None] * 5
+        q = [None] * 5
+        if number:
+            q = exact_quantiles(df.select(F.when(~is_missing(df, c), quoted(c)).alias("v")), "v", [0.0, 0.25, 0.5, 0.75, 1.0]) or q
         stats = [one[f"a{i}"], one[f"s{i}"], *q] if number else [None] * 7
         rows.append((c, _named(dict(df.dtypes)[c])[0], n, gone, gone / n if n else None, one[f"d{i}"], *stats, None if number else top_values(df, c, top_n)))
     return _small(df.sparkSession, rows, "column string, class string, n long, missing long, missing_prop double, distinct long, mean double, sd double, min double, q25 double, median double, q75 double, max double, top string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.core import Names, as_expr, as_table, quoted, resolve_cols
+from lattica.core import Names, as_expr, as_table, quoted, resolve_cols, unused
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -76,7 +76,11 @@ def propcount(df: DataFrame, by: Names, margin: Names | None = None) -> DataFram
     keys = resolve_cols(df, by)
     within = [quoted(m) for m in resolve_cols(df, margin)] if margin is not None else []
     counts = df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("prop", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    if within:
+        return counts.withColumn("prop", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    total = unused("_total", counts.columns)
+    one = df.agg(F.count(F.lit(1)).alias(total))  # one row
+    return counts.crossJoin(F.broadcast(one)).withColumn("prop", F.col("n") / quoted(total)).drop(total)
 
 
 def freq(df: DataFrame, column: str, by: Names | None = None, prop: bool = False, sort: bool = True) -> DataFrame:

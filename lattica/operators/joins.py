@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.core import Names, all_of, as_table, batch_only, one_col, quoted, resolve_cols, same_keys, suffixed
+from lattica.core import Names, all_of, as_table, batch_only, one_col, quoted, range_of, resolve_cols, same_keys, suffixed, value_bounds
 from lattica.operators.rows import firstby
 
 
@@ -72,11 +72,25 @@ def _as_number(c: Column, kind: T.DataType) -> Column:
     return F.unix_date(c).cast("double") if isinstance(kind, T.DateType) else c.cast("double")
 
 
+def _ranged(stacked: DataFrame, right: DataFrame, ranges: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``stacked`` with _range, a range of _roll, and for each range the last row of ``right`` before it and the first after it."""
+    bounds = value_bounds(stacked, ["_roll"], ranges)
+    number = range_of(["_roll"], stacked, bounds)
+    found = right.withColumn("_range", number).groupBy("_range", "_roll").agg(F.max("_y").alias("_y")).groupBy("_range")
+    ends = found.agg(F.min_by("_y", "_roll").alias("_least"), F.max_by("_y", "_roll").alias("_most"))
+    every = stacked.sparkSession.range(len(bounds) + 1).select(F.col("id").cast("int").alias("_range")).join(ends, "_range", "left")
+    order = Window.orderBy("_range")  # a row for each range
+    before = F.last("_most", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_least", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    return stacked.withColumn("_range", number), every.select("_range", before.alias("_before_range"), after.alias("_after_range"))
+
+
 def rollingmerge(x: DataFrame, y: DataFrame, by: Names, direction: str = "backward", tolerance: float | None = None) -> DataFrame:
     """As-of join: all rows of x with the row of y that is last before (or first after, or nearest to) the last key of ``by``.
 
     The other keys are equal. Rows of both sides are stacked and sorted once by key, and each row of x takes the last
-    row of y seen so far: one shuffle, no pairs. Keys of y should be unique; of several the largest row counts. Nearest
+    row of y seen so far: one shuffle, no pairs. Without other keys, ranges of the last key are sorted apart, and each
+    takes over the nearest rows of the ranges beside it. Keys of y should be unique; of several the largest row counts. Nearest
     takes the earlier one of two equally near rows. Matches farther away than ``tolerance`` (seconds for times, days
     for dates) count as none.
     """
@@ -92,6 +106,9 @@ def rollingmerge(x: DataFrame, y: DataFrame, by: Names, direction: str = "backwa
     stacked = left.unionByName(right)
     keys = [F.col(f"_k{i}") for i in range(len(equal))]
     is_x = F.col("_x").isNotNull()
+    if not keys:  # ranges of the roll key take the place of equal keys
+        stacked, carried = _ranged(stacked, right.select("_roll", "_y"))
+        keys = [F.col("_range")]
     tie = F.col("_y").asc_nulls_last()
     before = F.last("_y", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("_roll").asc_nulls_first(), is_x, tie).rowsBetween(Window.unboundedPreceding, 0))
     after = F.last("_y", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("_roll").desc_nulls_first(), is_x, tie).rowsBetween(Window.unboundedPreceding, 0))
@@ -99,6 +116,11 @@ def rollingmerge(x: DataFrame, y: DataFrame, by: Names, direction: str = "backwa
         stacked = stacked.withColumn("_before", before)
     if direction != "backward":
         stacked = stacked.withColumn("_after", after)
+    if not equal:
+        stacked = stacked.join(F.broadcast(carried), "_range")  # a row for each range
+        for side in ("_before", "_after"):
+            if side in stacked.columns:
+                stacked = stacked.withColumn(side, F.coalesce(side, f"{side}_range"))
     kind = x.schema[roll].dataType
     gap = lambda m: F.abs(_as_number(F.col("_roll"), kind) - _as_number(F.col(f"{m}._at"), y.schema[roll].dataType))
     match = {"backward": F.col("_before") if direction == "backward" else None, "forward": F.col("_after") if direction == "forward" else None}.get(direction)
@@ -148,43 +170,79 @@ def _left_on(x: DataFrame, y: DataFrame, by: list[str], condition) -> DataFrame:
     return joined.select(*own, *(quoted(f"_y_{c}").alias(f"{c}.y" if c in shared else c) for c in y.columns if c not in by))
 
 
-def rangemerge(x: DataFrame, y: DataFrame, by: Names, lower: str, upper: str, value: str) -> DataFrame:
-    """All rows of x with the rows of y whose ``value`` is from ``lower`` to ``upper``; ``by`` is equal."""
+def _overlapping(x: DataFrame, y: DataFrame, keys: list[str], spans: tuple[str, str, str, str], bin_width: float | None) -> DataFrame:
+    """All rows of x with the rows of y of equal keys whose closed interval overlaps theirs.
+
+    Each interval has a level: the first power of two, times the width, that is no shorter. At its own level and at all
+    higher ones that occur it lies in two bins at most; two intervals meet in a bin of the higher of their levels, and
+    each pair counts in the first one.
+    """
+    sx, ex, sy, ey = spans
+    number = lambda df, c: _as_number(quoted(c), df.schema[c].dataType)
+    if bin_width is None:
+        mean = x.agg(F.avg(number(x, ex) - number(x, sx))).first()[0]
+        bin_width = 4 * mean if mean and 0 < mean < float("inf") else 1.0
+
+    def leveled(df: DataFrame, s: str, e: str) -> DataFrame:
+        length = (number(df, e) - number(df, s)) / bin_width
+        df = df.withColumns({"_from": number(df, s), "_to": number(df, e), "_own": F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))))).cast("int")})
+        return df.filter("_from <= _to")
+
+    left, right = leveled(x, sx, ex), leveled(y, sy, ey)
+    levels = sorted({r[0] for df in (left, right) for r in df.select("_own").distinct().collect()})  # as many as powers of two
+
+    def binned(df: DataFrame) -> DataFrame:
+        higher = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda v: v >= F.col("_own"))
+        df = df.withColumn("_level", F.explode(higher)).withColumn("_w", F.pow(F.lit(2.0), "_level") * bin_width)
+        df = df.withColumn("_first", F.floor(F.col("_from") / F.col("_w")).cast("long"))
+        return df.withColumn("_bin", F.explode(F.sequence(F.col("_first"), F.floor(F.col("_to") / F.col("_w")).cast("long")))).drop("_w", "_from", "_to")
+
+    shared = [c for c in x.columns if c in y.columns and c not in keys]
+    tagged = binned(right)
+    tagged = tagged.withColumnsRenamed({c: f"_y_{c}" for c in tagged.columns})
+    same = [quoted(k).eqNullSafe(quoted(f"_y_{k}")) for k in keys]
+    same += [F.col("_level") == F.col("_y__level"), F.col("_bin") == F.col("_y__bin")]
+    once = (F.col("_bin") == F.greatest("_first", "_y__first")) & (F.col("_level") == F.greatest("_own", "_y__own"))
+    overlap = (quoted(sx) <= quoted(f"_y_{ey}")) & (quoted(ex) >= quoted(f"_y_{sy}"))
+    hits = binned(left).join(tagged, all_of([*same, once, overlap]))
+    own = [quoted(c).alias(f"{c}.x" if c in shared else c) for c in x.columns]
+    others = [c for c in y.columns if c not in keys]
+    matched = hits.select(*own, *(quoted(f"_y_{c}").alias(f"{c}.y" if c in shared else c) for c in others))
+    # a row of x comes up in several bins: it is unmatched only where no bin has a match
+    alone = x.join(hits.select(*(quoted(c).alias(f"_h_{c}") for c in x.columns)).distinct(), all_of(quoted(c).eqNullSafe(quoted(f"_h_{c}")) for c in x.columns), "left_anti")
+    empty = [F.lit(None).cast(y.schema[c].dataType).alias(f"{c}.y" if c in shared else c) for c in others]
+    return matched.unionByName(alone.select(*own, *empty))
+
+
+def _can_bin(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def rangemerge(x: DataFrame, y: DataFrame, by: Names, lower: str, upper: str, value: str, bin_width: float | None = None) -> DataFrame:
+    """All rows of x with the rows of y whose ``value`` is from ``lower`` to ``upper``; ``by`` is equal.
+
+    Numbers and times are cut into bins (as in ``overlapmerge``), so not all pairs of a key meet; other types are compared pair by pair.
+    """
     keys = _keys(x, y, by)
     lower, upper, value = one_col(x, lower, "lower"), one_col(x, upper, "upper"), one_col(y, value, "value")
+    if _can_bin(x, lower) and _can_bin(x, upper) and _can_bin(y, value):
+        return _overlapping(x, y, keys, (lower, upper, value, value), bin_width)
     return _left_on(x, y, keys, quoted(f"_y_{value}").between(quoted(lower), quoted(upper)))
 
 
 def overlapmerge(x: DataFrame, y: DataFrame, startx: str, endx: str, starty: str, endy: str, by: Names | None = None, bin_width: float | None = None) -> DataFrame:
     """All rows of x with the rows of y whose closed interval overlaps theirs; ``by`` is equal if given.
 
-    Without equal keys, numbers and times are cut into bins of ``bin_width`` (seconds for times; by default four times
-    the mean length of x's intervals), so that only intervals that share a bin meet; each pair counts in its first one.
+    Numbers and times are cut into bins of ``bin_width`` (seconds for times, days for dates; by default four times the
+    mean length of x's intervals) and its doubles, so that only intervals that share a bin meet. An interval that ends
+    before it starts, or has a NULL end, overlaps nothing.
     """
-    sx, ex, sy, ey = one_col(x, startx, "startx"), one_col(x, endx, "endx"), one_col(y, starty, "starty"), one_col(y, endy, "endy")
-    overlap = (quoted(sx) <= quoted(f"_y_{ey}")) & (quoted(ex) >= quoted(f"_y_{sy}"))
-    if by is not None:
-        return _left_on(x, y, _keys(x, y, by), overlap)
-    number = lambda df, c: _as_number(quoted(c), df.schema[c].dataType)
-    if bin_width is None:
-        mean = x.agg(F.avg(number(x, ex) - number(x, sx))).first()[0]
-        bin_width = 4 * mean if mean and mean > 0 else 1.0
-    place = lambda df, c: F.floor(number(df, c) / bin_width)
-    bins = lambda df, s, e: F.explode_outer(F.when(quoted(s) <= quoted(e), F.sequence(place(df, s), place(df, e))))
-    shared = [c for c in x.columns if c in y.columns]
-    left = x.withColumn("_bin", bins(x, sx, ex)).withColumn("_first", place(x, sx))
-    right = y.withColumn("_bin", bins(y, sy, ey)).withColumn("_first", place(y, sy)).withColumnsRenamed({c: f"_y_{c}" for c in [*y.columns, "_bin", "_first"]})
-    once = F.col("_bin") == F.greatest("_first", "_y__first")
-    joined = left.join(right, (F.col("_bin") == F.col("_y__bin")) & once & overlap, "left")
-    # a row of x comes up in each of its bins: it is unmatched only where no bin has a match
-    hits = joined.filter(F.col("_y__bin").isNotNull())
-    rows = x.columns
-    own = [quoted(c).alias(f"{c}.x" if c in shared else c) for c in rows]
-    theirs = [quoted(f"_y_{c}").alias(f"{c}.y" if c in shared else c) for c in y.columns]
-    matched = hits.select(*own, *theirs)
-    alone = x.join(hits.select(*(quoted(c).alias(f"_h_{c}") for c in rows)).distinct(), all_of(quoted(c).eqNullSafe(quoted(f"_h_{c}")) for c in rows), "left_anti")
-    empty = [F.lit(None).cast(y.schema[c].dataType).alias(f"{c}.y" if c in shared else c) for c in y.columns]
-    return matched.unionByName(alone.select(*own, *empty))
+    spans = one_col(x, startx, "startx"), one_col(x, endx, "endx"), one_col(y, starty, "starty"), one_col(y, endy, "endy")
+    keys = _keys(x, y, by) if by is not None else []
+    if all(_can_bin(df, c) for df, c in zip((x, x, y, y), spans, strict=True)):
+        return _overlapping(x, y, keys, spans, bin_width)
+    sx, ex, sy, ey = spans
+    return _left_on(x, y, keys, (quoted(sx) <= quoted(f"_y_{ey}")) & (quoted(ex) >= quoted(f"_y_{sy}")))
 
 
 def updatemerge(x: DataFrame, y: DataFrame, by: Names, cols: Names | None = None, order=None) -> DataFrame:

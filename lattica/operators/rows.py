@@ -5,12 +5,14 @@ Operators that depend on row order take ``order``: column names (ascending, NULL
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.core import Names, all_of, any_of, as_table, batch_only, is_blank, order_columns, quoted, resolve_cols, reversed_order, window, with_row_id
+from lattica.core import Names, all_of, any_of, as_table, batch_only, is_blank, order_columns, quoted, resolve_cols, reversed_order, unused, window, with_row_id
 
 
 def reorder(df: DataFrame, by: Names, decreasing: bool | Sequence[bool] = False, na_last: bool | None = True) -> DataFrame:
@@ -60,15 +62,39 @@ def reverse(df: DataFrame, order) -> DataFrame:
     return batch_only(df, "reverse").orderBy(*reversed_order(order))
 
 
+def _drawn(df: DataFrame, n: int, total: int, seed: int | None) -> DataFrame:
+    """n of the ``total`` rows: those with the smallest random numbers.
+
+    Nearly all of them are below a bound that is known beforehand; only the rows between it and a second bound, some
+    eight standard deviations of their number, are sorted.
+    """
+    if n >= total:
+        return df
+    draw = unused("_draw", df.columns)
+    marked = df.withColumn(draw, F.rand(random.getrandbits(31) if seed is None else seed))
+    spread = 4 * math.sqrt(n * (1 - n / total)) + 10
+    while True:
+        low, high = max(0.0, (n - spread) / total), min(1.0, (n + spread) / total)
+        sure, middle = marked.agg(F.count_if(F.col(draw) < low), F.count_if((F.col(draw) >= low) & (F.col(draw) <= high))).first()
+        if sure <= n <= sure + middle:
+            break
+        spread *= 4
+    rest = marked.filter((F.col(draw) >= low) & (F.col(draw) <= high)).orderBy(draw).limit(n - sure)
+    return marked.filter(F.col(draw) < low).unionByName(rest).drop(draw)
+
+
 def samplerows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """n rows without replacement."""
-    if n > df.count():
+    total = df.count()
+    if n > total:
         raise ValueError("cannot take a sample larger than the table.")
-    return df.orderBy(F.rand(seed)).limit(n)
+    return _drawn(df, n, total, seed)
 
 
 def samplefrac(df: DataFrame, frac: float, seed: int | None = None) -> DataFrame:
-    return df.orderBy(F.rand(seed)).limit(-int(-(df.count() * frac) // 1))
+    """A share of the rows, rounded up, without replacement."""
+    total = df.count()
+    return _drawn(df, -int(-(total * frac) // 1), total, seed)
 
 
 def _numbered(df: DataFrame, by: Names, order, last: bool = False) -> DataFrame:

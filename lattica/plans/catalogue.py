@@ -117,8 +117,8 @@ def holed(t: Tables) -> DataFrame:
 
 HOLED_SQL = f"(SELECT event_id, user_id, ts, {HOLED} AS value FROM events)"
 
-add("reorder", lambda t: rows.reorder(t.customer, ["c_nationkey", "c_acctbal"], [False, True]).limit(50), "SELECT * FROM customer ORDER BY c_nationkey, c_acctbal DESC LIMIT 50")
-add("arrange", lambda t: rows.arrange(t.customer.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY"))), ["c_mktsegment", "c_custkey"], True).limit(20), "SELECT * REPLACE (nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment) FROM customer ORDER BY nullif(c_mktsegment, 'MACHINERY') DESC NULLS LAST, c_custkey DESC LIMIT 20")
+add("reorder", lambda t: rows.reorder(t.customer, ["c_nationkey", "c_acctbal"], [False, True]), "SELECT * FROM customer ORDER BY c_nationkey, c_acctbal DESC")
+add("arrange", lambda t: rows.arrange(t.customer.withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("MACHINERY"))), ["c_mktsegment", "c_custkey"], True), "SELECT * REPLACE (nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment) FROM customer ORDER BY nullif(c_mktsegment, 'MACHINERY') DESC NULLS LAST, c_custkey DESC")
 add("orderrows", lambda t: rows.orderrows(t.nation.withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(2))), "n_regionkey", na_last=None), "SELECT n_nationkey, n_name, nullif(n_regionkey, 2) AS n_regionkey FROM nation WHERE n_regionkey <> 2")
 add("slice", lambda t: rows.slice(t.nation, [3, 1, 1, 25], "n_nationkey"), "SELECT n.* FROM (VALUES (2), (0), (0), (24)) v(k) JOIN nation n ON n.n_nationkey = v.k")
 add("slice_exclude", lambda t: rows.slice(t.nation, [-1, -2], "n_nationkey"), "SELECT * FROM nation WHERE n_nationkey >= 2")
@@ -126,8 +126,15 @@ add("firstrows", lambda t: rows.firstrows(t.orders, 7, order=["o_orderdate", "o_
 add("lastrows", lambda t: rows.lastrows(t.orders, 7, order=["o_orderdate", "o_orderkey"]), "SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 7")
 add("headtail", lambda t: rows.headtail(t.orders, 3, order="o_orderkey"), "(SELECT * FROM orders ORDER BY o_orderkey LIMIT 3) UNION ALL (SELECT * FROM orders ORDER BY o_orderkey DESC LIMIT 3)")
 add("reverse", lambda t: rows.reverse(t.nation, "n_nationkey"), "SELECT * FROM nation ORDER BY n_nationkey DESC")
-add("samplerows", lambda t: rows.samplerows(t.orders, 100, seed=1))
-add("samplefrac", lambda t: rows.samplefrac(t.orders, 0.05, seed=1))
+
+
+def drawn(sample: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """What holds of any sample: its size, its distinct keys, and how many of its rows the table has."""
+    return sample.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("keys")).crossJoin(sample.join(table, table.columns, "left_semi").agg(F.count(F.lit(1)).alias("members")))
+
+
+add("samplerows", lambda t: drawn(rows.samplerows(t.orders, 1000, seed=1), t.orders, "o_orderkey"), "SELECT CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS keys, CAST(1000 AS BIGINT) AS members")
+add("samplefrac", lambda t: drawn(rows.samplefrac(t.orders, 0.3, seed=1), t.orders, "o_orderkey"), "SELECT n, n AS keys, n AS members FROM (SELECT CAST(ceil(count(*) * 0.3) AS BIGINT) AS n FROM orders)")
 add("firstby", lambda t: rows.firstby(t.events, "user_id", EVENT_ORDER), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 add("lastby", lambda t: rows.lastby(t.events, "user_id", EVENT_ORDER), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 add("distinct", lambda t: rows.distinct(t.lineitem, ["l_returnflag", "l_linestatus"]), "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -162,16 +169,18 @@ add("with_row_id", lambda t: with_row_id(t.orders.select("o_orderkey", "o_orderd
 
 
 def cust(t: Tables) -> DataFrame:
-    """Customers with a key of orders and a name that orders have as well."""
-    return t.customer.filter("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("o_orderstatus"), "c_nationkey")
+    """All customers, with a key of orders and a name that orders have as well; a third of the keys have no order."""
+    return t.customer.select(F.expr(UNLIKE_CUST).alias("o_custkey"), F.col("c_name").alias("o_orderstatus"), "c_nationkey")
 
 
-ORDER = "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey % 5 <> 0"
-CUST = "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey % 3 <> 0"
+UNLIKE_CUST, UNLIKE_ORDER = "CASE WHEN c_custkey % 3 = 0 THEN -1 - c_custkey ELSE c_custkey END", "CASE WHEN o_custkey % 5 = 0 THEN o_custkey + 1000000000 ELSE o_custkey END"
+ORDER = f"SELECT o_orderkey, {UNLIKE_ORDER} AS o_custkey, o_orderstatus FROM orders"
+CUST = f"SELECT {UNLIKE_CUST} AS c_custkey, c_name, c_nationkey FROM customer"
 
 
 def ords(t: Tables) -> DataFrame:
-    return t.orders.filter("o_custkey % 5 <> 0").select("o_orderkey", "o_custkey", "o_orderstatus")
+    """All orders; a fifth of the keys have no customer."""
+    return t.orders.select("o_orderkey", F.expr(UNLIKE_ORDER).alias("o_custkey"), "o_orderstatus")
 
 
 for kind, flags in (("inner", {}), ("left", {"all_x": True}), ("right", {"all_y": True}), ("full", {"all": True})):
@@ -192,6 +201,11 @@ def sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return x, y
 
 
+def moments(t: Tables) -> DataFrame:
+    """The largest value at each time of purchases, of whatever user."""
+    return sides(t)[1].groupBy("ts").agg(F.max("value").alias("value"))
+
+
 def asof_sql(op: str) -> str:
     return f"SELECT x.user_id, x.ts, x.event_id, y.value FROM (SELECT * FROM events WHERE event_type = 'click') x ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') y ON x.user_id = y.user_id AND x.ts {op} y.ts"
 
@@ -203,9 +217,12 @@ add("rollingmerge_backward", lambda t: joins.rollingmerge(*sides(t), ["user_id",
 add("rollingmerge_forward", lambda t: joins.rollingmerge(*sides(t), ["user_id", "ts"], "forward"), asof_sql("<="))
 add("rollingmerge_tolerance", lambda t: joins.rollingmerge(*sides(t), ["user_id", "ts"], tolerance=86400), "SELECT x.user_id, x.ts, x.event_id, CASE WHEN epoch_us(x.ts) - epoch_us(y.ts) <= 86400000000 THEN y.value END AS value FROM (SELECT * FROM events WHERE event_type = 'click') x ASOF LEFT JOIN (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase') y ON x.user_id = y.user_id AND x.ts >= y.ts")
 add("rollingmerge_nearest", lambda t: joins.rollingmerge(*sides(t), ["user_id", "ts"], "nearest"), NEAREST.format("value"))
+for direction, op in (("backward", ">="), ("forward", "<=")):
+    add(f"rollingmerge_nokey_{direction}", lambda t, d=direction: joins.rollingmerge(sides(t)[0].drop("user_id"), moments(t), "ts", d), f"SELECT x.ts, x.event_id, y.value FROM (SELECT * FROM events WHERE event_type = 'click') x ASOF LEFT JOIN (SELECT ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ts) y ON x.ts {op} y.ts")
 add("nearestmerge", lambda t: joins.nearestmerge(*sides(t), ["user_id", "ts"], 86400), NEAREST.format("CASE WHEN abs(gap) <= 86400000000 THEN value END"))
 add("nonequimerge", lambda t: joins.nonequimerge(t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey", "c_acctbal"), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_acctbal"), ["k", "c_acctbal>=s_acctbal"]), "SELECT c_nationkey AS k, c_custkey, c_acctbal, s_suppkey, s_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal >= s_acctbal")
 add("rangemerge", lambda t: joins.rangemerge(t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey", (F.col("c_acctbal") - 100).alias("lo"), (F.col("c_acctbal") + 100).alias("hi")), t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_acctbal"), "k", "lo", "hi", "s_acctbal"), "SELECT c_nationkey AS k, c_custkey, c_acctbal - 100 AS lo, c_acctbal + 100 AS hi, s_suppkey, s_acctbal FROM customer LEFT JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal BETWEEN c_acctbal - 100 AND c_acctbal + 100")
+add("rangemerge_hotkey", lambda t: joins.rangemerge(t.customer.select(F.lit(1).alias("k"), "c_custkey", (F.col("c_acctbal") - 5).alias("lo"), F.expr("CASE WHEN c_custkey % 500 = 0 THEN c_acctbal + 5000 ELSE c_acctbal + 5 END").alias("hi")), t.supplier.select(F.lit(1).alias("k"), "s_suppkey", "s_acctbal"), "k", "lo", "hi", "s_acctbal"), "SELECT 1 AS k, c_custkey, c_acctbal - 5 AS lo, CASE WHEN c_custkey % 500 = 0 THEN c_acctbal + 5000 ELSE c_acctbal + 5 END AS hi, s_suppkey, s_acctbal FROM customer LEFT JOIN supplier ON s_acctbal BETWEEN c_acctbal - 5 AND CASE WHEN c_custkey % 500 = 0 THEN c_acctbal + 5000 ELSE c_acctbal + 5 END")
 OVERLAP = "SELECT c_nationkey AS k, c_custkey, c_acctbal AS sx, c_acctbal + 50 AS ex, s_suppkey, s_acctbal AS sy, s_acctbal + 20 AS ey FROM customer LEFT JOIN supplier ON {}c_acctbal <= s_acctbal + 20 AND c_acctbal + 50 >= s_acctbal"
 
 
@@ -269,9 +286,9 @@ add("tolong", lambda t: reshape.tolong(t.lineitem.select("l_orderkey", "l_linenu
 add("towide", lambda t: reshape.towide(t.orders, "o_orderstatus", "o_orderkey", "o_orderpriority"), "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY ALL")
 add("towide_max", lambda t: reshape.towide(t.orders, "o_orderstatus", "o_orderkey", "o_custkey", "max", -1), "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), -1) AS F, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'O'), -1) AS O, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'P'), -1) AS P FROM orders GROUP BY ALL")
 add("reshape_long", lambda t: reshape.reshape(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), "long", idvar="c_custkey", timevar="time", v_names="v", varying=["c_nationkey", "c_acctbal"]), "SELECT c_custkey, 1 AS time, CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, 2, c_acctbal FROM customer")
-add("reshape_wide", lambda t: reshape.reshape(t.lineitem.filter("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")), "wide", idvar="l_orderkey", timevar="l_linenumber", v_names="q"), 'SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS "q.1", max(l_quantity) FILTER (l_linenumber = 2) AS "q.2" FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL')
+add("reshape_wide", lambda t: reshape.reshape(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")), "wide", idvar="l_orderkey", timevar="l_linenumber", v_names="q"), "SELECT l_orderkey, " + ", ".join(f'max(l_quantity) FILTER (l_linenumber = {i}) AS "q.{i}"' for i in range(1, 8)) + " FROM lineitem GROUP BY ALL")
 add("stack", lambda t: reshape.stack(t.part, ["p_size", "p_retailprice"]), "SELECT CAST(p_size AS DOUBLE) AS values, 'p_size' AS ind FROM part UNION ALL SELECT p_retailprice, 'p_retailprice' FROM part")
-add("unstack", lambda t: reshape.unstack(t.nation.filter("n_regionkey < 2"), "n_name", "n_regionkey", order="n_nationkey"), 'SELECT max(n_name) FILTER (n_regionkey = 0) AS "0", max(n_name) FILTER (n_regionkey = 1) AS "1" FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation WHERE n_regionkey < 2) GROUP BY k')
+add("unstack", lambda t: reshape.unstack(t.nation, "n_name", "n_regionkey", order="n_nationkey"), "SELECT " + ", ".join(f'max(n_name) FILTER (n_regionkey = {i}) AS "{i}"' for i in range(5)) + " FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) GROUP BY k")
 add("transpose", lambda t: reshape.transpose(t.region, order="r_regionkey"), 'SELECT max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 0) AS "V1", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 1) AS "V2", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 2) AS "V3", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 3) AS "V4", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 4) AS "V5" FROM region UNION ALL SELECT max(r_name) FILTER (r_regionkey = 0), max(r_name) FILTER (r_regionkey = 1), max(r_name) FILTER (r_regionkey = 2), max(r_name) FILTER (r_regionkey = 3), max(r_name) FILTER (r_regionkey = 4) FROM region')
 add("rowapply", lambda t: t.lineitem.select("l_orderkey", "l_linenumber", reshape.rowapply(t.lineitem, lambda a: F.array_max(a) - F.array_min(a), ["l_quantity", "l_linenumber"]).alias("spread")), "SELECT l_orderkey, l_linenumber, greatest(l_quantity, l_linenumber) - least(l_quantity, l_linenumber) AS spread FROM lineitem")
 
@@ -343,7 +360,7 @@ over_orders("standardize", lambda d: numeric.standardize(d, PRICE, "v"), f"({PRI
 over_orders("center", lambda d: numeric.center(d, PRICE, "v"), f"{PRICE} - mean")
 over_orders("winsorize", lambda d: numeric.winsorize(d, PRICE, (0.05, 0.95), "v"), f"least(greatest({PRICE}, q1), q2)")
 over_orders("clamp", lambda d: d.withColumn("v", numeric.clamp(PRICE, 1000.0, 200000.0)), f"least(greatest({PRICE}, 1000.0), 200000.0)")
-add("quantilegroup", lambda t: numeric.quantilegroup(t.orders, PRICE, 4, "v", labels=False).groupBy("v").agg(F.count(F.lit(1)).alias("n")), f"WITH q AS (SELECT quantile_cont({PRICE}, [0.25, 0.5, 0.75]) AS q FROM orders) SELECT 1 + CAST({PRICE} > q[1] AS INTEGER) + CAST({PRICE} > q[2] AS INTEGER) + CAST({PRICE} > q[3] AS INTEGER) AS v, count(*) AS n FROM orders, q GROUP BY ALL")
+add("quantilegroup", lambda t: numeric.quantilegroup(t.orders, PRICE, 4, "v", labels=False).select("o_orderkey", "v"), f"WITH q AS (SELECT quantile_cont({PRICE}, [0.25, 0.5, 0.75]) AS q FROM orders) SELECT o_orderkey, 1 + CAST({PRICE} > q[1] AS INTEGER) + CAST({PRICE} > q[2] AS INTEGER) + CAST({PRICE} > q[3] AS INTEGER) AS v FROM orders, q")
 
 # --- text -----------------------------------------------------------------------------------------------------------
 
@@ -358,7 +375,7 @@ over_text("trim", text.trim, "regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$',
 over_text("squish", text.squish, "regexp_replace(regexp_replace(x, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '\\s+', ' ', 'g')", source=PADDED)
 over_text("lower", text.lower, "lower(x)", source="p_type")
 over_text("upper", text.upper, "upper(x)")
-over_text("titlecase", lambda c: text.titlecase(F.concat(c, F.lit(" of THE sea"))), None)
+over_text("titlecase", lambda c: text.titlecase(F.concat(c, F.lit(" of THE sea"))), "array_to_string(list_transform(string_split(lower(x || ' of THE sea'), ' '), lambda w, i: CASE WHEN i > 1 AND w IN ('of', 'the') THEN w ELSE upper(left(w, 1)) || substr(w, 2) END), ' ')")
 over_text("sentencecase", text.sentencecase, "upper(left(x, 1)) || lower(substr(x, 2))", source="p_type")
 over_text("textlen", text.textlen, "CAST(length(x) AS INTEGER)", "documents", "text")
 over_text("left", lambda c: text.left(c, 5), "left(x, 5)")
@@ -375,7 +392,7 @@ over_text("startswith", lambda c: text.startswith(c, "[A-P]"), "regexp_matches(x
 over_text("endswith", lambda c: text.endswith(c, "[1-3]"), "regexp_matches(x, '[1-3]$')", source="p_brand")
 over_text("countmatch", lambda c: text.countmatch(c, "[aeiou]"), "CAST(len(regexp_extract_all(x, '[aeiou]')) AS INTEGER)", "documents", "text")
 over_text("locate", lambda c: text.locate(c, "e"), "CASE WHEN strpos(x, 'e') = 0 THEN -1 ELSE CAST(strpos(x, 'e') AS INTEGER) END")
-over_text("locateall", lambda c: text.locateall(c, "a").cast("string"), None)
+over_text("locateall", lambda c: F.array_join(text.locateall(c, "a"), ","), "CASE WHEN contains(x, 'a') THEN array_to_string(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) = 'a'), ',') ELSE '-1' END")
 over_text("extract", lambda c: text.extract(c, "[A-Z]+[0-9]"), "CASE WHEN regexp_matches(x, '[A-Z]+[0-9]') THEN regexp_extract(x, '[A-Z]+[0-9]') END", source="upper(concat(p_name, p_size))")
 over_text("extractall", lambda c: F.array_join(text.extractall(c, "https?://[a-z.]+"), "|"), "array_to_string(regexp_extract_all(x, 'https?://[a-z.]+'), '|')", "pages", "html")
 over_text("extractnum", text.extractnum, "TRY_CAST(regexp_replace(x, '[^0-9.-]', '', 'g') AS DOUBLE)", source="p_brand")
@@ -391,8 +408,8 @@ over_text("splitlast", lambda c: text.splitlast(c, " "), "split_part(x, ' ', -1)
 over_text("jointext", lambda c: text.jointext(F.nullif(c, F.lit("Brand#11")), F.lit("-"), c), "coalesce(nullif(x, 'Brand#11'), 'NA') || '-' || x", source="p_brand")
 add("collapsetext", lambda t: t.conversations.groupBy("conv_id").agg(text.collapsetext("role", ">", order="turn").alias("v")), "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS v FROM conversations GROUP BY ALL")
 over_text("isblank", text.isblank, "x IS NULL OR trim(x) = ''", source="CASE p_size % 3 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE p_name END")
-over_text("removeaccents", text.removeaccents, None, "documents", "text")
-over_text("transliterate", lambda c: text.transliterate(F.lower(c)), None, "documents", "text")
+over_text("removeaccents", text.removeaccents, "replace(strip_accents(x), 'ß', 'ss')", "documents", "text")
+over_text("transliterate", lambda c: text.transliterate(F.lower(c)), "replace(strip_accents(lower(x)), 'ß', 'ss')", "documents", "text")
 over_text("normalizeunicode", text.normalizeunicode, "x")
 over_text("normalizeencoding", text.normalizeencoding, "x")
 add("textdist", lambda t: text.textdist(t.nation, t.region, "n_name", "r_name").withColumn("distance", F.col("distance").cast("long")), "SELECT n_name AS x, r_name AS y, CAST(levenshtein(n_name, r_name) AS BIGINT) AS distance FROM nation CROSS JOIN region")
