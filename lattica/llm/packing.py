@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import staged, whole
+from lattica.llm.common import discard, staged, unused, whole
 from lattica.llm.tokenizing import LEADING_BLANK, documents_with_end, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -102,17 +102,19 @@ def bin_bound(lengths: np.ndarray, capacity: int, steps: int = 12) -> int:
     return best
 
 
-def _packed(first_group: int, capacity: int):
+def _packed(first_group: int, capacity: int, own: dict[str, str]):
+    """``own``: the names that the columns of the work have beside those of the pieces."""
+
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_key", *[c for c in ("doc_id", "piece") if c in group]], kind="stable").reset_index(drop=True)
+        group = group.sort_values([own["_key"], *[c for c in ("doc_id", "piece") if c in group]], kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, places, filled = best_fit_decreasing(lengths, capacity)
         bound = bin_bound(lengths, capacity)
-        group["sequence_id"] = ((first_group + int(group["_group"].iloc[0])) << 28) + bins
-        group["offset"] = places
-        group["_first"] = places == 0
-        group["_gap"] = len(filled) - bound
-        group["_room"] = capacity - filled[bins]
+        group[own["sequence_id"]] = ((first_group + int(group[own["_group"]].iloc[0])) << 28) + bins
+        group[own["offset"]] = places
+        group[own["_first"]] = places == 0
+        group[own["_gap"]] = len(filled) - bound
+        group[own["_room"]] = capacity - filled[bins]
         return group
 
     return pack
@@ -123,34 +125,37 @@ def pack_best_fit(pieces: DataFrame, *, capacity: int = 1024, group_rows: int =
 
     ``pieces`` needs a column ``length`` from 1 to ``capacity``; other columns are carried along. Every row is placed,
     repeated rows once each; an empty table stays empty. Ties are broken by a hash of the whole row, so reruns agree
-    up to equal rows.
+    up to equal rows. If ``pieces`` has columns with names of results, they stay and underscores are appended to the
+    names of the results.
     """
-    if clash := {"sequence_id", "offset", "certified"} & set(pieces.columns):
-        raise ValueError(f"columns with names of results: {', '.join(sorted(clash))}")
     names = pieces.columns
-    items = staged(pieces.withColumn("_key", F.xxhash64(*names)), "pieces")
+    own = {n: unused(n, names) for n in ("_key", "_group", "_first", "_gap", "_room", "sequence_id", "offset", "certified")}
+    key, gap, room, first = (F.col(own[n]) for n in ("_key", "_gap", "_room", "_first"))
+    items = staged(pieces.withColumn(own["_key"], F.xxhash64(*names)), "pieces")
     done: list[DataFrame] = []
     pool, number = items, items.count()
     first_group = 0
     for turn in count():
         groups = max(1, -(-number // group_rows))
-        dealt = pool.select(*names, "_key", F.pmod(F.xxhash64("_key", F.lit(turn)), F.lit(groups)).alias("_group"))
-        schema = T.StructType([*dealt.schema.fields, *(T.StructField(n, T.BooleanType() if n == "_first" else T.LongType()) for n in ("sequence_id", "offset", "_first", "_gap", "_room"))])
-        tried = staged(dealt.groupBy("_group").applyInPandas(_packed(first_group, capacity), schema), f"round{turn}")
+        dealt = pool.select(*names, key, F.pmod(F.xxhash64(key, F.lit(turn)), F.lit(groups)).alias(own["_group"]))
+        schema = T.StructType([*dealt.schema.fields, *(T.StructField(own[n], T.BooleanType() if n == "_first" else T.LongType()) for n in ("sequence_id", "offset", "_first", "_gap", "_room"))])
+        tried = staged(dealt.groupBy(own["_group"]).applyInPandas(_packed(first_group, capacity, own), schema), f"round{turn}")
+        if not turn:
+            discard(items)
         first_group += groups
         if turn:
-            saved = before - tried.filter("_first").count()
+            saved = before - tried.filter(first).count()
             if saved <= 0:
                 done.append(kept)
                 break
-        loose = (F.col("_gap") > 0) & (F.col("_room") > 0)
-        totals = tried.filter(loose).agg(F.count(F.lit(1)).alias("rows"), F.count_if("_first").alias("bins")).first()
+        loose = (gap > 0) & (room > 0)
+        totals = tried.filter(loose).agg(F.count(F.lit(1)).alias("rows"), F.count_if(first).alias("bins")).first()
         number, before = totals["rows"], totals["bins"]
         if not number or groups == 1:  # loose pieces of a single group are packed again as they were
             done.append(tried)
             break
         done.append(tried.filter(~loose))
         kept = tried.filter(loose)
-        pool = kept.select(*names, "_key")
+        pool = kept.select(*names, key)
     result = reduce(DataFrame.unionByName, done)
-    return result.select(*names, "sequence_id", "offset", (F.col("_gap") == 0).alias("certified"))
+    return result.select(*names, own["sequence_id"], own["offset"], (gap == 0).alias(own["certified"]))

@@ -1,15 +1,17 @@
 """SimHash near-duplicates, linked through pivot distance tables.
 
-Distinct fingerprints meet in cells: of four blocks of 16 bits two linked fingerprints (3 differing bits or fewer) share
-one, and of the four parts of the other 48 bits they share one as well, so each fingerprint goes to 16 cells of 28
-fixed bits. Within a cell a table holds every fingerprint's Hamming distances to many reference fingerprints. A pair
-whose coordinates differ by more than the limit anywhere is discarded; survivors are verified bit by bit. A cell
+A table holds the Hamming distances of every distinct fingerprint to many reference fingerprints: its coordinates,
+computed once. Distinct fingerprints meet in cells: of four blocks of 16 bits two linked fingerprints (3 differing bits
+or fewer) share one, and of the four parts of the other 48 bits they share one as well, so each fingerprint goes to 16
+cells of 28 fixed bits, with its coordinates. By the triangle inequality the coordinates of linked fingerprints differ by
+3 at most: a pair with a larger difference anywhere is discarded, and survivors are verified bit by bit. A cell
 sends on a spanning forest of its links, never all pairs; a cell with very many fingerprints is split by further bits
 in the same way before it is searched. Components of the forests give the near-duplicate classes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import staged, whole
+from lattica.llm.common import staged, unused, whole
 from lattica.llm.components import component_stars
 
 BITS, LIMIT, PIVOTS, SPLIT_ABOVE = 64, 3, 24, 2048
@@ -29,6 +31,27 @@ def reference_fingerprints(number: int = PIVOTS, seed: int = 7) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, number, np.uint64, endpoint=False)
 
 
+def pivot_distances(fp: Column) -> Column:
+    """The coordinates of a fingerprint: its Hamming distances to the reference fingerprints."""
+    return F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("tinyint") for p in reference_fingerprints().view(np.int64).tolist()))
+
+
+def close(coordinates: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int = LIMIT, tally: Counter | None = None) -> np.ndarray:
+    """Which pairs of rows are linked: those whose coordinates differ too much anywhere are discarded before their bits are compared.
+
+    ``tally`` counts the pairs, and those that are verified.
+    """
+    linked, alive = np.zeros(len(left), bool), np.arange(len(left))
+    for p in range(coordinates.shape[1]):
+        alive = alive[np.abs(coordinates[left[alive], p] - coordinates[right[alive], p]) <= limit]
+        if not len(alive):
+            break
+    linked[alive] = np.bitwise_count(values[left[alive]] ^ values[right[alive]]) <= limit
+    if tally is not None:
+        tally.update(pairs=len(left), verified=len(alive))
+    return linked
+
+
 def fingerprint(raw: bytes, shingle: int = 3, seed: int = 42) -> int:
     """The unsigned SimHash of UTF-8 text: majority bits of the XXH64 of its word shingles, repeats included."""
     from xxhash import xxh64_intdigest
@@ -82,8 +105,8 @@ def _root(parents: np.ndarray, i: int) -> int:
     return i
 
 
-def link_forest(values: np.ndarray, pivots: np.ndarray, limit: int = LIMIT, parents: np.ndarray | None = None, rows: np.ndarray | None = None, free: np.ndarray | None = None) -> np.ndarray:
-    """Roots of ``values`` (distinct uint64) where those within ``limit`` bits of each other are united.
+def link_forest(values: np.ndarray, coordinates: np.ndarray, limit: int = LIMIT, parents: np.ndarray | None = None, rows: np.ndarray | None = None, free: np.ndarray | None = None, tally: Counter | None = None) -> np.ndarray:
+    """Roots of ``values`` (distinct uint64, with their ``coordinates``) where those within ``limit`` bits of each other are united.
 
     ``free``: bits that aren't known to be equal in all; a large set is split by parts of them, which loses no pair.
     """
@@ -96,24 +119,17 @@ def link_forest(values: np.ndarray, pivots: np.ndarray, limit: int = LIMIT, pare
             order = np.argsort(key, kind="stable")
             for same in np.split(rows[order], np.flatnonzero(np.diff(key[order])) + 1):
                 if len(same) > 1:
-                    link_forest(values, pivots, limit, parents, same, np.setdiff1d(free, part))
+                    link_forest(values, coordinates, limit, parents, same, np.setdiff1d(free, part), tally)
         return parents
-    own = values[rows]
-    coordinates = np.bitwise_count(own[:, None] ^ pivots[None, :]).astype(np.int16)
-    order = np.argsort(coordinates[:, 0], kind="stable")
-    rows, own, coordinates = rows[order], own[order], coordinates[order]
-    last = np.searchsorted(coordinates[:, 0], coordinates[:, 0] + limit, side="right")  # within the limit of the first pivot
+    rows = rows[np.argsort(coordinates[rows, 0], kind="stable")]
+    first = coordinates[rows, 0]
+    last = np.searchsorted(first, first + limit, side="right")  # within the limit of the first pivot
     for at in range(0, len(rows), 256):
         i = np.arange(at, min(len(rows), at + 256))
         counts = np.maximum(last[i] - i - 1, 0)
         left = np.repeat(i, counts)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts)
-        for p in range(1, len(pivots)):
-            near = np.abs(coordinates[left, p] - coordinates[right, p]) <= limit
-            left, right = left[near], right[near]
-            if len(left) < 64:
-                break
-        linked = np.bitwise_count(own[left] ^ own[right]) <= limit
+        linked = close(coordinates, values, rows[left], rows[right], limit, tally)
         for a, b in zip(rows[left[linked]].tolist(), rows[right[linked]].tolist(), strict=True):
             a, b = _root(parents, a), _root(parents, b)
             if a != b:
@@ -122,33 +138,28 @@ def link_forest(values: np.ndarray, pivots: np.ndarray, limit: int = LIMIT, pare
 
 
 def fingerprint_links(classes: DataFrame) -> DataFrame:
-    """(u, v) between nodes of ``classes`` (fp, node): for each cell a spanning forest of its links."""
-    pivots = reference_fingerprints()
+    """(u, v) between nodes of ``classes`` (fp, coordinates, node): for each cell a spanning forest of its links."""
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(cell, fp, node):
-            same = np.flatnonzero(np.diff(cell) == 0)  # rows whose successor is in the same cell
-            if not len(same):
+        def links(cell, fp, node, coordinates):
+            if not len(cell):
                 return
             edge = np.flatnonzero(np.diff(cell)) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(cell)]])
-            u, v = [], []
-            for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-                if b - a == 2:
-                    if int(np.bitwise_count(fp[a] ^ fp[a + 1])) <= LIMIT:
-                        u.append(node[a])
-                        v.append(node[a + 1])
-                    continue
-                parents = link_forest(fp[a:b], pivots)
+            two = starts[ends - starts == 2]
+            two = two[close(coordinates, fp, two, two + 1)]
+            u, v = node[two].tolist(), node[two + 1].tolist()
+            for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+                parents = link_forest(fp[a:b], coordinates[a:b])
                 joined = np.flatnonzero(parents != np.arange(b - a))
                 u += node[a:b][joined].tolist()
                 v += node[a:b][parents[joined]].tolist()
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(u, np.int64)), pa.array(np.array(v, np.int64))], ["u", "v"])
 
-        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, PIVOTS), np.int8)]
         for batch in batches:
-            new = [batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()]
+            new = [batch.column("cell").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy(), batch.column("coordinates").flatten().to_numpy().reshape(-1, PIVOTS)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
@@ -157,7 +168,7 @@ def fingerprint_links(classes: DataFrame) -> DataFrame:
             held = [x[whole_cells:] for x in held]
         yield from links(*held)
 
-    dealt = classes.select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "node")
+    dealt = classes.select(F.explode(_cells(F.col("fp"))).alias("cell"), "fp", "node", "coordinates")
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(forest, "u long, v long")
 
 
@@ -168,7 +179,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     with a null doc_id keep it and join the component of their fingerprint. An empty table gives an empty result.
     """
     found = staged(fingerprints(docs, shingle=shingle), "fingerprints")
-    classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null"), "classes")
+    classes = found.groupBy("fp").agg(F.min("doc_id").alias("node")).filter("node is not null")
+    classes = staged(classes.withColumn("coordinates", pivot_distances(F.col("fp"))), "classes")
     stars = component_stars(fingerprint_links(classes))
     labelled = classes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("component_id")), "node", "left")
     labelled = labelled.select("fp", F.coalesce("component_id", "node").alias("component_id"))
@@ -180,9 +192,11 @@ def keep_one_of_each(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
 
     Rows count by doc_id and text: those without a doc_id or with one that repeats go only if another row resembles them.
     """
-    key = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_hash": F.xxhash64("text", F.length("text"))}
-    found = fingerprints(docs.withColumn("_hash", key["_hash"]), shingle=shingle, keep=("_hash",)).withColumns({k: key[k] for k in ("_none", "_id")})
-    classes = staged(found.groupBy("fp").agg(F.min(F.struct(*key)).alias("best")).withColumn("node", F.col("fp")), "classes")
+    none, number, text = (unused(n, docs.columns) for n in ("_none", "_id", "_hash"))
+    key = {none: F.col("doc_id").isNull(), number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), text: F.xxhash64("text", F.length("text"))}
+    found = fingerprints(docs.withColumn(text, key[text]), shingle=shingle, keep=(text,)).withColumns({k: key[k] for k in (none, number)})
+    classes = found.groupBy("fp").agg(F.min(F.struct(*key)).alias("best")).withColumns({"node": F.col("fp"), "coordinates": pivot_distances(F.col("fp"))})
+    classes = staged(classes, "classes")
     stars = component_stars(fingerprint_links(classes)).select(F.col("u").alias("node"), F.col("v").alias("component"))
     labelled = classes.join(stars, "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best"))
     return docs.withColumns(key).join(labelled.select("best.*"), list(key), "left_semi").dropDuplicates(list(key)).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.boosting import BoostedTrees, isotonic
-from lattica.llm.common import staged, whole
+from lattica.llm.common import staged, unused, whole
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ya thou thee du dich dir dein deine deiner euch ihr sie tu te toi vous ton ta tes votre vos tú ti tus usted ustedes vosotros vuestra vuestro".split())
@@ -144,17 +144,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_per_class: int = 400
     return ToxicityModel(lexicon, trees, centres, means, prior)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` (all columns) with toxicity, from 0 to 1. Null texts count as empty; an empty table stays empty."""
-    if "toxicity" in docs.columns:
-        raise ValueError("a column is already called toxicity")
+def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "toxicity") -> DataFrame:
+    """``docs`` (all columns) with a score from 0 to 1. Null texts count as empty; an empty table stays empty.
+
+    If a column is called ``name`` already, it stays and underscores are appended to the name of the score.
+    """
 
     @F.pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in texts:
             yield pd.Series(model.scores(some.tolist()))
 
-    return docs.withColumn("toxicity", scored(whole(F.col("text"))))
+    return docs.withColumn(unused(name, docs.columns), scored(whole(F.col("text"))))
 
 
 def toxicity_of_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

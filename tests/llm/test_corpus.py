@@ -6,7 +6,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -160,11 +160,13 @@ def test_packing_exchanges_as_long_as_it_saves(spark):
     assert len(filled) <= 2732  # three rounds leave 2,734
 
 
-def test_packing_keeps_ids_and_refuses_clashes(docs, spark):
+def test_packing_keeps_ids_and_clashing_columns(docs, spark):
     one = packing.token_pieces(docs.filter("doc_id = 5"), BYTE, capacity=100, with_ids=True).orderBy("piece").collect()
     assert [i for r in one for i in r["ids"]] == ids_of(BYTE, docs.filter("doc_id = 5").first()["text"])
-    with pytest.raises(ValueError, match="sequence_id"):
-        packing.pack_best_fit(spark.createDataFrame([(1, 2)], "length long, sequence_id long"))
+    clash = spark.createDataFrame([(1, 7, "x", "y"), (1, 7, "x", "y"), (60, 8, None, None)], "length long, sequence_id long, _key string, _gap string")
+    got = packing.pack_best_fit(clash, capacity=64)
+    assert got.columns == ["length", "sequence_id", "_key", "_gap", "sequence_id_", "offset", "certified"]
+    assert sorted((r["sequence_id"], r["offset"], r["certified"]) for r in got.collect()) == [(7, 60, True), (7, 61, True), (8, 0, True)]
 
 
 def test_bounds_hold_and_certify():
@@ -408,11 +410,19 @@ def test_links_of_dense_sets_are_whole(spark, monkeypatch):
     rng = random.Random(6)
     values = list({x for c in (rng.getrandbits(64), rng.getrandbits(64)) for _ in range(250) for x in [c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5)))]} | {rng.getrandbits(64) for _ in range(200)})
     want = components(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    classes = spark.createDataFrame(list(zip(signed, range(len(values)), strict=True)), "fp long, node long").withColumn("coordinates", simhash.pivot_distances(F.col("fp")))
+    table = np.array([r["coordinates"] for r in classes.orderBy("node").collect()], np.int8)
+    pivots = [int(p) for p in simhash.reference_fingerprints()]
+    assert table.tolist() == [[bin(v ^ p).count("1") for p in pivots] for v in values]
+    tally = Counter()
+    parents = simhash.link_forest(np.array(values, np.uint64), table, tally=tally)
+    assert [simhash._root(parents, i) for i in range(len(values))] == want
+    assert tally["verified"] < 0.4 * tally["pairs"] < 0.4 * len(values) ** 2 / 2  # the first coordinate, then the others
     monkeypatch.setattr(simhash, "SPLIT_ABOVE", 40)
-    parents = simhash.link_forest(np.array(values, np.uint64), simhash.reference_fingerprints())
+    parents = simhash.link_forest(np.array(values, np.uint64), table)
     assert [simhash._root(parents, i) for i in range(len(values))] == want
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.fingerprint_links(spark.createDataFrame(list(zip(signed, range(len(values)), strict=True)), "fp long, node long"))
+    links = simhash.fingerprint_links(classes)
     stars = {r["u"]: r["v"] for r in simhash.component_stars(links).collect()}
     assert [stars.get(i, i) for i in range(len(values))] == want
 
