@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import linededup, mixing, packing, simhash, toxicity
-from lattica.llm.common import documents, staged, table
+from lattica.llm.common import documents, staged, table, unused
 from lattica.llm.queries import vocabulary
 
 TOXIC_FROM = 0.5
@@ -19,7 +19,8 @@ TOXIC_FROM = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored ``TOXIC_FROM`` or more go."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).filter(F.col("toxicity") < TOXIC_FROM).select(*docs.columns)
+    score = unused("toxicity", docs.columns)
+    return toxicity.score_toxicity(docs, model, score).filter(F.col(score) < TOXIC_FROM).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +38,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document is there as many times as the mix takes it; the one of each source that it takes in part counts to the nearest whole number."""
-    keys = {"_doc": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": mixing.word_count(F.col("text"))}
+    doc, source, size, row, copies, copy, *others = (unused(n, docs.columns) for n in ("_doc", "_source", "_size", "_row", "_copies", "_copy", "_d", "_s", "_z", "_r"))
+    keys = {doc: F.col("doc_id").cast("long"), source: F.col("source").cast("string"), size: mixing.word_count(F.col("text"))}
     # rows of one id, source and size are alike to the mix: any numbering of them will do
-    numbered = docs.withColumns(keys).withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))).cast("long"))
-    copies = mixing.mix_documents(docs).select("doc_id", "source", "size", "row", F.round("copies").cast("int").alias("_copies")).filter("_copies > 0").toDF("_d", "_s", "_z", "_r", "_copies")
-    same = F.col("_doc").eqNullSafe(F.col("_d")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_row") == F.col("_r"))
-    return numbered.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    numbered = docs.withColumns(keys).withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("text"))).cast("long"))
+    taken = mixing.mix_documents(docs).select("doc_id", "source", "size", "row", F.round("copies").cast("int").alias("n")).filter("n > 0").toDF(*others, copies)
+    same = F.col(doc).eqNullSafe(F.col(others[0])) & F.col(source).eqNullSafe(F.col(others[1])) & (F.col(size) == F.col(others[2])) & (F.col(row) == F.col(others[3]))
+    return numbered.join(taken, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
