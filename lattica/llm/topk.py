@@ -1,11 +1,12 @@
-"""Exact top-k inner products by best-first search of M-trees.
-
-Vectors go to pages of bounded size, by the nearest of some routing vectors; each page holds an M-tree, whose entries
-keep a routing object, a covering radius and the distance to the parent's routing object. For a query q and an entry
-with routing object c and radius r no inner product exceeds q.c + |q| r, and by the triangle inequality q.c itself is
-at most q.p + |q| d(c, p) for the parent p: with that stored distance most entries are ruled out before their own
-product is computed. Nodes are visited in the order of their bounds. A query starts from its k-th best score among the
-routing vectors, which is a lower bound of its true one.
+"""Exact top-k inner products by best-first search of a paged M-tree.
+
+Vectors go to pages of bounded size, by the nearest of some routing vectors; each page holds an M-tree, and the upper
+levels of the tree, whose leaves are pages, go to every worker. Entries keep a routing object, a covering radius and the
+distance to the parent's routing object. For a query q and an entry with routing object c and radius r no inner product
+exceeds q.c + |q| r, and by the triangle inequality q.c itself is at most q.p + |q| d(c, p) for the parent p: with that
+stored distance most entries are ruled out before their own product is computed. Nodes are visited in the order of
+their bounds. A query starts from its k-th best score among the routing vectors, a lower bound of its true one; it
+searches its most promising page, and with the k-th best score found there all other pages that could hold better ones.
 """
 
 from __future__ import annotations
@@ -23,6 +24,23 @@ from pyspark.sql import functions as F
 from lattica.llm.common import staged
 
 LEAF, FAN_OUT, SLACK = 64, 12, 1e-6
+#: The most pages by size, besides one for each routing vector: the upper levels have so many entries at most.
+MAX_PAGES = 8192
+
+
+def spread(points: np.ndarray, rows: np.ndarray, centre: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """``rows`` of ``points`` in parts, each around a routing object, those objects far from each other."""
+    own = points[rows]
+    chosen = [int(((own - centre) ** 2).sum(axis=1).argmax())]
+    gap = np.sqrt(((own - own[chosen[0]]) ** 2).sum(axis=1))
+    nearest = np.zeros(len(rows), np.int64)
+    while len(chosen) < FAN_OUT and gap.max() > 0:
+        chosen.append(int(gap.argmax()))
+        new = np.sqrt(((own - own[chosen[-1]]) ** 2).sum(axis=1))
+        nearest[new < gap] = len(chosen) - 1
+        gap = np.minimum(gap, new)
+    used = np.unique(nearest)
+    return [rows[nearest == c] for c in used], own[np.array(chosen)[used]]
 
 
 class MTree:
@@ -43,21 +61,10 @@ class MTree:
             nearest = np.argsort(distance, kind="stable")
             self.nodes.append(("leaf", rows[nearest], distance[nearest]))
             return len(self.nodes) - 1
-        # routing objects far from each other, then every row with its nearest
-        chosen = [int(distance.argmax())]
-        gap = np.sqrt(((self.real[rows] - self.real[rows[chosen[0]]]) ** 2).sum(axis=1))
-        nearest = np.zeros(len(rows), np.int64)
-        while len(chosen) < FAN_OUT and gap.max() > 0:
-            chosen.append(int(gap.argmax()))
-            new = np.sqrt(((self.real[rows] - self.real[rows[chosen[-1]]]) ** 2).sum(axis=1))
-            nearest[new < gap] = len(chosen) - 1
-            gap = np.minimum(gap, new)
-        used = np.unique(nearest)
-        parts = [rows[nearest == c] for c in used]
+        parts, routing = spread(self.real, rows, centre)
         if len(parts) == 1:  # all in one place as far as distances tell
             self.nodes.append(("leaf", rows, distance))
             return len(self.nodes) - 1
-        routing = self.real[rows[np.array(chosen)[used]]]
         radii = np.array([np.sqrt(((self.real[p] - c) ** 2).sum(axis=1)).max() for p, c in zip(parts, routing, strict=True)])
         parent = np.sqrt(((routing - centre) ** 2).sum(axis=1))
         children = [self._build(p, c) for p, c in zip(parts, routing, strict=True)]
@@ -107,6 +114,46 @@ class MTree:
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1])), computed
 
 
+class PageTree:
+    """The upper levels of the tree: nodes over pages (numbers, centres, covering radii)."""
+
+    def __init__(self, numbers: np.ndarray, centres: np.ndarray, radii: np.ndarray):
+        self.numbers, self.centres, self.radii, self.nodes = numbers, centres, radii, []
+        self.root = centres.mean(axis=0)
+        self.top = self._build(np.arange(len(numbers)), self.root)
+
+    def _build(self, rows: np.ndarray, centre: np.ndarray) -> int:
+        parts, routing = spread(self.centres, rows, centre) if len(rows) > FAN_OUT else ([], None)
+        if len(parts) < 2:
+            self.nodes.append((None, self.centres[rows], self.radii[rows], np.sqrt(((self.centres[rows] - centre) ** 2).sum(axis=1)), rows))
+            return len(self.nodes) - 1
+        radii = np.array([(np.sqrt(((self.centres[p] - c) ** 2).sum(axis=1)) + self.radii[p]).max() for p, c in zip(parts, routing, strict=True)])
+        children = [self._build(p, c) for p, c in zip(parts, routing, strict=True)]
+        self.nodes.append((children, routing, radii, np.sqrt(((routing - centre) ** 2).sum(axis=1)), None))
+        return len(self.nodes) - 1
+
+    def visit(self, query: np.ndarray, floor: float) -> Iterator[int]:
+        """Numbers of pages that may hold a score of ``floor`` or more, the most promising first."""
+        q = query.astype(np.float64)
+        length = float(np.sqrt(q @ q)) * (1 + 1e-12)
+        reach = float(np.sqrt((self.centres**2).sum(axis=1)).max() + self.radii.max())
+        least = floor - SLACK - 1e-12 * length * reach  # rounding of products grows with them
+        waiting: list[tuple] = [(-np.inf, 0, self.top, float(self.root @ q), None)]
+        turn = 1
+        while waiting:
+            _, _, number, product, page = heapq.heappop(waiting)
+            if page is not None:
+                yield page
+                continue
+            children, routing, radii, parent, rows = self.nodes[number]
+            maybe = np.flatnonzero(product + length * (parent + radii) >= least)
+            products = routing[maybe] @ q
+            for i, own, bound in zip(maybe.tolist(), products.tolist(), (products + length * radii[maybe]).tolist(), strict=True):
+                if bound >= least:
+                    heapq.heappush(waiting, (-bound, turn, children[i] if children else -1, own, None if children else int(self.numbers[rows[i]])))
+                    turn += 1
+
+
 def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v (floor of ``scale`` times each component) and dim of the vectors that can take part.
 
@@ -130,11 +177,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10, page_rows:
     """query_id, rank, vec_id and score: the ``k`` highest inner products of each query with candidates other than itself.
 
     Both inputs are as ``usable`` returns them; only vectors of equal dimension meet. Fewer candidates than ``k`` give
-    all of them. A vec_id that repeats among candidates counts as often as it occurs. Queries travel in blocks of
-    ``block_rows`` to the pages, each pair of a block and a page is searched by itself, and no more than ``k`` rows a
-    query come out of it.
+    all of them. A vec_id that repeats among candidates counts as often as it occurs. A page meets only the queries that
+    it may have something for, in blocks of some ``block_rows``, and no more than ``k`` rows a query come out of it.
     """
     rows = staged(candidates.select("vec_id", "v", "dim"), "vectors")
+    page_rows = max(page_rows, -(-rows.count() // MAX_PAGES))
     # a bounded sample: routing_rows vectors of whatever dimension, those with the smallest hashes
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(routing_rows).collect()
     routing = {d: (np.array([r["vec_id"] for r in sample if r["dim"] == d], np.int64), _matrix([r["v"] for r in sample if r["dim"] == d])) for d in {r["dim"] for r in sample}}
@@ -167,41 +214,62 @@ def top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10, page_rows:
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
         tree = MTree(group["vec_id"].to_numpy(), _matrix(group["v"]))
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "page_no": [int(group["page"].iloc[0]) * 4096 + int(group["part"].iloc[0])], "tree": [pickle.dumps((tree.ids, tree.vectors, tree.nodes, tree.root))]})
+        centre = tree.root[0]
+        radius = float(np.sqrt(((tree.real - centre) ** 2).sum(axis=1)).max())
+        number = int(group["page"].iloc[0]) * (1 << 20) + int(group["part"].iloc[0])
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "page_no": [number], "centre": [centre], "radius": [radius], "tree": [pickle.dumps((tree.ids, tree.vectors, tree.nodes, tree.root))]})
+
+    pages = staged(paged.groupBy("dim", "page", "part").applyInPandas(build, "dim int, page_no long, centre array<double>, radius double, tree binary"), "pages")
+    summary = pages.select("dim", "page_no", "centre", "radius").orderBy("page_no").collect()  # MAX_PAGES + routing_rows at most
+    upper = {d: PageTree(*(np.array([r[c] for r in summary if r["dim"] == d]) for c in ("page_no", "centre", "radius"))) for d in {r["dim"] for r in summary}}
+    asked = queries.select("vec_id", "v", "dim")
+    blocks = max(1, -(-asked.count() // block_rows))
+
+    def seeds(vec_id: int, v: np.ndarray) -> float:
+        """The k-th best score of a query among the routing vectors."""
+        known, objects = routing.get(len(v), (np.zeros(0, np.int64), np.zeros((0, len(v)), np.int64)))
+        others = np.sort((objects @ v)[known != vec_id])
+        return float(others[-k]) if len(others) >= k else -np.inf
 
-    pages = staged(paged.groupBy("dim", "page", "part").applyInPandas(build, "dim int, page_no long, tree binary"), "pages")
+    def promising(first: bool):
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for i, v, dim, floor in zip(batch["vec_id"].tolist(), batch["v"], batch["dim"].tolist(), batch["floor"].tolist(), strict=True):
+                    if dim in upper:
+                        q, tree = np.asarray(v, np.int64), upper[dim]
+                        floor = max(seeds(i, q), -np.inf if np.isnan(floor) else floor)
+                        best = next(tree.visit(q, -np.inf))
+                        found = [best] if first else [p for p in tree.visit(q, floor) if p != best]
+                        out += [(dim, p, i, q, floor) for p in found]
+                yield pd.DataFrame(out, columns=["dim", "page_no", "vec_id", "v", "floor"])
+
+        return choose
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "queries": [pickle.dumps((group["vec_id"].to_numpy(), _matrix(group["v"])))]})
-
-    asked = queries.select("vec_id", "v", "dim")
-    blocks = max(1, -(-asked.count() // block_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)))
-    packed = staged(asked.groupBy("dim", "block").applyInPandas(block, "dim int, queries binary"), "blocks")
-    groups = 64
-    sent = packed.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    meeting = pages.withColumn("lane", F.pmod(F.xxhash64("page_no"), F.lit(groups)).cast("int")).join(sent, ["dim", "lane"])
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "page_no": [int(group["page_no"].iloc[0])], "queries": [pickle.dumps((group["vec_id"].to_numpy(), _matrix(group["v"]), group["floor"].to_numpy()))]})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tree = None, None
         for batch in batches:
             for blob, questions in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                if (raw := blob.as_py()) != held:
-                    held, tree = raw, MTree.__new__(MTree)
-                    tree.ids, tree.vectors, tree.nodes, tree.root = pickle.loads(raw)
-                    tree.real = None
-                ids, vectors = pickle.loads(questions.as_py())
-                found = []
-                known, objects = routing.get(vectors.shape[1], (np.zeros(0, np.int64), np.zeros((0, vectors.shape[1]), np.int64)))
-                seeds = vectors @ objects.T
-                for i, q, seed in zip(ids.tolist(), vectors, seeds, strict=True):
-                    others = np.sort(seed[known != i])
-                    floor = float(others[-k]) if len(others) >= k else -np.inf
-                    found += [(i, v, s) for s, v in tree.search(i, q, k, floor)[0]]
-                columns = list(zip(*found, strict=True)) or [(), (), ()]
+                tree = MTree.__new__(MTree)
+                tree.ids, tree.vectors, tree.nodes, tree.root = pickle.loads(blob.as_py())
+                found = [(i, v, score) for i, q, floor in zip(*pickle.loads(questions.as_py()), strict=True) for score, v in tree.search(int(i), q, k, floor)[0]]
+                columns = [[f[c] for f in found] for c in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = meeting.select("tree", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
+    def searched(wanted: DataFrame, first: bool) -> DataFrame:
+        """The best rows of one page, or of the others, for queries (vec_id, v, dim, floor)."""
+        sent = wanted.mapInPandas(promising(first), "dim int, page_no long, vec_id long, v array<long>, floor double")
+        sent = sent.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)))
+        sent = sent.groupBy("dim", "page_no", "block").applyInPandas(block, "dim int, page_no long, queries binary")
+        meeting = sent.join(pages.select("dim", "page_no", "tree"), ["dim", "page_no"])
+        return meeting.select("tree", "queries").mapInArrow(search, "query_id long, vec_id long, score long")
+
+    nearest = staged(searched(asked.withColumn("floor", F.lit(None).cast("double")), True), "nearest")
+    floors = nearest.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    rest = searched(asked.join(floors.select(F.col("query_id").alias("vec_id"), "floor"), "vec_id", "left"), False)
+    found = nearest.unionByName(rest)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -359,6 +359,35 @@ def test_m_tree_saves_products():
     assert computed < 1000
 
 
+def test_upper_levels_skip_pages_and_lose_none():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(300, 16)) * 3000
+    pages = [np.floor(c + rng.normal(size=(50, 16)) * 60).astype(np.int64) for c in centres]
+    radii = np.array([np.sqrt(((p - c) ** 2).sum(axis=1)).max() for p, c in zip(pages, centres, strict=True)])
+    tree = topk.PageTree(np.arange(300) * 7, centres, radii)
+    visited = []
+    for q in (pages[5][0], pages[77][3], np.floor(rng.normal(size=16) * 1000).astype(np.int64)):
+        best = np.array([(p @ q).max() for p in pages])
+        floor = float(np.sort(best)[-3])
+        found = list(tree.visit(q, floor))
+        assert set(found) >= {7 * int(i) for i in np.flatnonzero(best >= floor)} and len(found) == len(set(found))
+        bounds = [centres[n // 7] @ q + np.sqrt(float(q @ q)) * radii[n // 7] for n in found]
+        assert bounds == sorted(bounds, reverse=True)
+        assert sorted(tree.visit(q, -np.inf)) == [7 * i for i in range(300)]
+        visited.append(len(found))
+    assert max(visited) < 60
+
+
+def test_top_k_with_ties_repeats_and_few_rows(spark):
+    rows = [(100, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (2, [1.0, 0.0]), (None, [9.0, 9.0]), (200, [0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, page string, dim int, v int")
+    usable = topk.usable(df)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(usable, usable.filter("vec_id % 100 = 0"), k=4, page_rows=2, routing_rows=2).collect())
+    one = 1 << 20
+    assert got == [(100, 1, 2, one), (100, 2, 3, one), (100, 3, 3, one), (100, 4, 200, 0), (200, 1, 2, 0), (200, 2, 3, 0), (200, 3, 3, 0), (200, 4, 100, 0)]
+    assert topk.top_k(usable.limit(0), usable.limit(0)).count() == 0 and topk.top_k(usable, usable.limit(0)).count() == 0
+
+
 # --- 7 SimHash ------------------------------------------------------------------------------------------------------
 
 
