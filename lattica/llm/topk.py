@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import staged
 
-LEAF, FAN_OUT, SLACK = 64, 12, 1e-6
+LEAF, FAN_OUT, SLACK = 128, 12, 1e-6
 #: The most pages by size, besides one for each routing vector: the upper levels have so many entries at most.
 MAX_PAGES = 8192
 
@@ -47,24 +47,38 @@ class MTree:
     """An M-tree over integer vectors, built in bulk; ties are settled by smaller ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids.astype(np.int64), vectors
-        self.real = vectors.astype(np.float64)
-        self.order = np.arange(len(ids))
-        self.nodes: list = []
+        self.real, self.nodes, self.order = vectors.astype(np.float64), [], []
         root = np.round(self.real.mean(axis=0))
-        self.root = (root, self._build(self.order, root))
+        self.root = (root, self._build(np.arange(len(ids)), root))
+        rows = np.concatenate(self.order)  # the rows of a leaf lie in a row
+        self.ids, self.vectors, self.real = ids.astype(np.int64)[rows], vectors[rows], self.real[rows]
+        self.longest = float(np.sqrt((self.real**2).sum(axis=1).max()))
+
+    def stored(self) -> bytes:
+        return pickle.dumps((self.ids, self.vectors, self.nodes, self.root, self.longest))
+
+    @classmethod
+    def loaded(cls, raw: bytes) -> MTree:
+        tree = cls.__new__(cls)
+        tree.ids, tree.vectors, tree.nodes, tree.root, tree.longest = pickle.loads(raw)
+        tree.real = tree.vectors.astype(np.float64)
+        return tree
+
+    def _leaf(self, rows: np.ndarray, distance: np.ndarray) -> int:
+        start = sum(map(len, self.order))
+        nearest = np.argsort(distance, kind="stable")
+        self.order.append(rows[nearest])
+        self.nodes.append(("leaf", start, distance[nearest]))
+        return len(self.nodes) - 1
 
     def _build(self, rows: np.ndarray, centre: np.ndarray) -> int:
         """The number of a node for ``rows``, whose entries know their distances to ``centre``."""
         distance = np.sqrt(((self.real[rows] - centre) ** 2).sum(axis=1))
         if len(rows) <= LEAF or not distance.any():
-            nearest = np.argsort(distance, kind="stable")
-            self.nodes.append(("leaf", rows[nearest], distance[nearest]))
-            return len(self.nodes) - 1
+            return self._leaf(rows, distance)
         parts, routing = spread(self.real, rows, centre)
         if len(parts) == 1:  # all in one place as far as distances tell
-            self.nodes.append(("leaf", rows, distance))
-            return len(self.nodes) - 1
+            return self._leaf(rows, distance)
         radii = np.array([np.sqrt(((self.real[p] - c) ** 2).sum(axis=1)).max() for p, c in zip(parts, routing, strict=True)])
         parent = np.sqrt(((routing - centre) ** 2).sum(axis=1))
         children = [self._build(p, c) for p, c in zip(parts, routing, strict=True)]
@@ -75,6 +89,7 @@ class MTree:
         """(score, id) of the best k rows other than the query's with a score of ``floor`` at least; products computed."""
         q = query.astype(np.float64)
         length, whole = float(np.sqrt(q @ q)) * (1 + 1e-12), query.astype(np.int64)
+        exact = length * self.longest < 2.0**52  # then sums of products are whole numbers that floating point holds exactly
         best: list[tuple[int, int]] = []  # a heap with the worst on top: (score, -id)
         centre, top = self.root
         entries = self.nodes[top]
@@ -88,11 +103,14 @@ class MTree:
                 break
             node = self.nodes[number]
             if node[0] == "leaf":
-                _, rows, distance = node
-                rows = rows[product + length * distance >= limit - slack]
-                computed += len(rows)
-                scores = self.vectors[rows].astype(np.int64) @ whole
-                for score, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                _, start, distance = node
+                first = int(np.searchsorted(distance, (limit - slack - product) / length)) if length else 0  # nearer ones can't reach the limit
+                computed += len(distance) - first
+                part = slice(start + first, start + len(distance))
+                scores = self.real[part] @ q if exact else self.vectors[part] @ whole
+                good = np.flatnonzero(scores >= limit)
+                for score, i in zip(scores[good].tolist(), self.ids[part][good].tolist(), strict=True):
+                    score = int(score)
                     if i == query_id or score < limit:
                         continue
                     if len(best) < k:
@@ -217,7 +235,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10, page_rows:
         centre = tree.root[0]
         radius = float(np.sqrt(((tree.real - centre) ** 2).sum(axis=1)).max())
         number = int(group["page"].iloc[0]) * (1 << 20) + int(group["part"].iloc[0])
-        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "page_no": [number], "centre": [centre], "radius": [radius], "tree": [pickle.dumps((tree.ids, tree.vectors, tree.nodes, tree.root))]})
+        return pd.DataFrame({"dim": [int(group["dim"].iloc[0])], "page_no": [number], "centre": [centre], "radius": [radius], "tree": [tree.stored()]})
 
     pages = staged(paged.groupBy("dim", "page", "part").applyInPandas(build, "dim int, page_no long, centre array<double>, radius double, tree binary"), "pages")
     summary = pages.select("dim", "page_no", "centre", "radius").orderBy("page_no").collect()  # MAX_PAGES + routing_rows at most
@@ -253,8 +271,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, *, k: int = 10, page_rows:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, questions in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                tree = MTree.__new__(MTree)
-                tree.ids, tree.vectors, tree.nodes, tree.root = pickle.loads(blob.as_py())
+                tree = MTree.loaded(blob.as_py())
                 found = [(i, v, score) for i, q, floor in zip(*pickle.loads(questions.as_py()), strict=True) for score, v in tree.search(int(i), q, k, floor)[0]]
                 columns = [[f[c] for f in found] for c in range(3)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
