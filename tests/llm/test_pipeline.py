@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from lattica.llm import mixing
+from pyspark.sql import functions as F
+
+from lattica.llm import linededup, media, mixing, secrets, simhash, toxicity
 from lattica.llm.common import documents
 
 
@@ -45,3 +47,51 @@ def test_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, sf_dir)
     assert ids(packed) == ids(mixed) and packed.filter("offset + length > 1024").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "simhash", "mixing", "packing"]
+
+
+NAMES = ["toxicity", "n_lines", "n_removed", "_doc_id", "_doc", "_copy", "_copies", "_gone", "_row", "row", "copies", "owner", "segment", "sequence_id", "_hash", "_id", "fp", "node", "h1", "token"]
+
+
+def odd_table(spark):
+    """Documents with null and repeated ids, repeated rows, null, empty and very long texts, and columns of any name."""
+    rng = random.Random(12)
+    make = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(n))
+    shared = make(30)
+    rows = [(i if i % 5 else None, make(50) + "\n" + shared, f"s{i % 3}" if i % 4 else None) for i in range(40)]
+    rows += [(1, make(40), "s1"), (1, make(40), "s2"), rows[3], rows[3], (None, None, None), (None, None, None), (2, "", "s0"), (None, " \n\n ", "s1"), (3, None, "s2")]
+    rows += [(900, "x" * 1_000_000, "s0"), (901, "Ab1-" * 250_000, "s1"), (902, make(60_000), "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    return docs.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *(F.lit(f"<{n}>").alias(n) for n in NAMES))
+
+
+def test_every_stage_takes_odd_tables(spark, tmp_path):
+    docs = odd_table(spark)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(1, 40)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    sf_dir = f"file://{tmp_path}"
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"<{n}>" for r in rows for n in NAMES), name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert any(r["doc_id"] is None and r["text"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert corpus_pipeline.pack(spark, docs, sf_dir).filter("offset + length > 1024").count() == 0
+    packed = corpus_pipeline.run(spark, sf_dir)
+    assert packed.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(packed.columns)
+
+
+def test_operators_take_odd_tables(spark):
+    docs = odd_table(spark)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    number = docs.count()
+    for df in (docs, docs.limit(0)):
+        want = number if df is docs else 0
+        assert secrets.scan_secrets(df).count() == want
+        assert toxicity.toxicity_of_documents(df, labels).count() == want
+        assert media.media_of_documents(df).count() == want
+        assert simhash.near_duplicates(df).count() == want
+        assert mixing.mix_documents(df).count() == want
+        assert linededup.dedup_lines(df).count() == want
+    got = mixing.mix_documents(docs).collect()
+    assert len({(r["doc_id"], r["source"], r["size"], r["row"]) for r in got}) == number
