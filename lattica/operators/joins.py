@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -173,23 +174,27 @@ def _left_on(x: DataFrame, y: DataFrame, by: list[str], condition) -> DataFrame:
 def _overlapping(x: DataFrame, y: DataFrame, keys: list[str], spans: tuple[str, str, str, str], bin_width: float | None) -> DataFrame:
     """All rows of x with the rows of y of equal keys whose closed interval overlaps theirs.
 
-    Each interval has a level: the first power of two, times the width, that is no shorter. At its own level and at all
-    higher ones that occur it lies in two bins at most; two intervals meet in a bin of the higher of their levels, and
-    each pair counts in the first one.
+    Each interval has a level: the first doubling of the width that is no shorter. At its own level and at all higher
+    ones that occur it lies in two bins at most; two intervals meet in a bin of the higher of their levels, and each
+    pair counts in the first one.
     """
     sx, ex, sy, ey = spans
     number = lambda df, c: _as_number(quoted(c), df.schema[c].dataType)
+    exponent = lambda length: F.ceil(F.log2(F.when(length > 0, length))).cast("int")
+    length = number(x, ex) - number(x, sx)
+    found = x.agg(F.avg(length), F.collect_set(exponent(length))).first()  # as many as powers of two
     if bin_width is None:
-        mean = x.agg(F.avg(number(x, ex) - number(x, sx))).first()[0]
-        bin_width = 4 * mean if mean and 0 < mean < float("inf") else 1.0
+        bin_width = 2.0 ** math.ceil(math.log2(4 * found[0])) if found[0] and 0 < found[0] < float("inf") else 1.0
+    shift = math.floor(math.log2(bin_width))
+    exponents = {*found[1]} | ({*y.agg(F.collect_set(exponent(number(y, ey) - number(y, sy)))).first()[0]} if sy != ey else set())
+    levels = sorted({0, *(max(0, e - shift) for e in exponents)})
 
     def leveled(df: DataFrame, s: str, e: str) -> DataFrame:
-        length = (number(df, e) - number(df, s)) / bin_width
-        df = df.withColumns({"_from": number(df, s), "_to": number(df, e), "_own": F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1.0))))).cast("int")})
-        return df.filter("_from <= _to")
+        df = df.withColumns({"_from": number(df, s), "_to": number(df, e)})
+        level = F.greatest(F.lit(0), F.coalesce(exponent(F.col("_to") - F.col("_from")) - shift, F.lit(0)))
+        return df.withColumn("_own", level).filter("_from <= _to")
 
     left, right = leveled(x, sx, ex), leveled(y, sy, ey)
-    levels = sorted({r[0] for df in (left, right) for r in df.select("_own").distinct().collect()})  # as many as powers of two
 
     def binned(df: DataFrame) -> DataFrame:
         higher = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda v: v >= F.col("_own"))
