@@ -98,3 +98,39 @@ def test_full_sorts(spark):
     df = spark.createDataFrame(data, "a int, b double").repartition(6)
     got = [(r["a"], r["b"]) for r in rows.reorder(df, ["a", "b"], [False, True]).collect()]
     assert got == sorted(data, key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
+
+
+@pytest.fixture
+def cut_joins(monkeypatch):
+    """Joins of few rows take the way of many, and groups of over 5,000 pairs are cut."""
+    monkeypatch.setattr(joins, "_FEW_PAIRS", 0, raising=False)
+    monkeypatch.setattr(joins, "_TASK_PAIRS", 5000, raising=False)
+
+
+def test_interval_joins_of_many_pairs_equal_brute_force(spark, cut_joins):
+    test_interval_joins_equal_brute_force_with_long_intervals(spark)
+
+
+@pytest.mark.parametrize("by", [["k", "a>=b"], ["a<b", "k==m"], ["k", "lo<=b", "a>=b"], ["s<=t", "a>b"]])
+def test_inequality_joins_equal_brute_force(spark, cut_joins, by):
+    rng = random.Random(len(by[0]))
+    x = [(i, rng.choice(["p", None]), rng.choice([None, float("nan"), *map(float, range(40))]), rng.choice("abc"), rng.uniform(0, 40)) for i in range(700)]
+    y = [(i, rng.choice(["p", None, "q"]), rng.choice([None, *range(40)]), rng.choice("abc"), rng.uniform(0, 60)) for i in range(900)]
+    left = spark.createDataFrame(x, "i int, k string, a double, s string, lo double").coalesce(1)
+    right = spark.createDataFrame(y, "j int, k string, b int, t string, c double").withColumn("m", F.col("k"))
+    out = joins.nonequimerge(left, right, by)
+    same = lambda u, v: u.eqNullSafe(v)
+    r = right.withColumnsRenamed({"k": "k2"})
+    conditions = [same(F.col("k"), F.col("k2")) if c == "k" else same(F.col("k"), F.col("m")) if "==" in c else F.expr(c) for c in by]
+    want = left.crossJoin(r)
+    for c in conditions:
+        want = want.filter(c)
+    assert sorted(map(tuple, out.select("i", "j").collect())) == sorted(map(tuple, want.select("i", "j").collect()))
+
+
+def test_pairs_are_made_by_more_tasks_than_read_the_left_side(spark, cut_joins):
+    x = spark.range(3000).select(F.lit(1).alias("k"), (F.col("id") % 97).cast("double").alias("a"), (F.col("id") % 97 + 2.0).alias("e"), "id").coalesce(1)
+    y = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") % 89).cast("double").alias("b"), F.col("id").alias("j")).coalesce(1)
+    for out in (joins.nonequimerge(x, y, ["k", "a>=b"]), joins.rangemerge(x, y, "k", "a", "e", "b"), joins.overlapmerge(x, y, "a", "e", "b", "b")):
+        tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(tasks) > 8 and max(r["n"] for r in tasks) < sum(r["n"] for r in tasks) / 4, sorted(r["n"] for r in tasks)
