@@ -335,7 +335,7 @@ over_events("cumcount", lambda: windows.cumcount(**AT).cast("long"), f"row_numbe
 over_events("cummean", lambda: windows.cummean("value", **AT), "CASE WHEN count(*) OVER w = count(value) OVER w THEN avg(value) OVER w END", 6)
 ORACLES["cummean"] += " WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 add("denserank", lambda t: t.orders.select("o_orderkey", windows.denserank(F.nullif("o_custkey", F.lit(7)), "o_orderstatus").cast("long").alias("v")), "SELECT o_orderkey, CASE WHEN o_custkey <> 7 THEN dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY nullif(o_custkey, 7) NULLS LAST) END AS v FROM orders")
-add("percentrank", lambda t: t.orders.select("o_orderkey", F.round(windows.percentrank(F.nullif("o_custkey", F.lit(7)), "o_orderstatus"), 9).alias("v")), "SELECT o_orderkey, CASE WHEN k IS NOT NULL THEN round((rank() OVER (PARTITION BY o_orderstatus ORDER BY k NULLS LAST) + (count(*) OVER (PARTITION BY o_orderstatus, k) - 1) / 2) / count(k) OVER (PARTITION BY o_orderstatus), 9) END AS v FROM (SELECT *, nullif(o_custkey, 7) AS k FROM orders)")
+add("percentrank", lambda t: windows.averaged_rank(t.orders, F.nullif("o_custkey", F.lit(7)), "o_orderstatus").select("o_orderkey", F.round("percentrank", 9).alias("v")), "SELECT o_orderkey, CASE WHEN k IS NOT NULL THEN round((rank() OVER (PARTITION BY o_orderstatus ORDER BY k NULLS LAST) + (count(*) OVER (PARTITION BY o_orderstatus, k) - 1) / 2) / count(k) OVER (PARTITION BY o_orderstatus), 9) END AS v FROM (SELECT *, nullif(o_custkey, 7) AS k FROM orders)")
 CUMEDIST = "WITH f AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS INTEGER) AS new FROM events) SELECT event_id, round(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), 9) AS v FROM f"
 add("cumedist", lambda t: t.events.select("event_id", F.round(windows.cumedist("event_type", **AT), 9).alias("v")), CUMEDIST)
 add("cumedist_flags", lambda t: windows.running_distinct(t.events, "event_type", **AT).select("event_id", F.round("cumedist", 9).alias("v")), CUMEDIST)

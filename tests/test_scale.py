@@ -134,3 +134,15 @@ def test_pairs_are_made_by_more_tasks_than_read_the_left_side(spark, cut_joins):
     for out in (joins.nonequimerge(x, y, ["k", "a>=b"]), joins.rangemerge(x, y, "k", "a", "e", "b"), joins.overlapmerge(x, y, "a", "e", "b", "b")):
         tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
         assert len(tasks) > 8 and max(r["n"] for r in tasks) < sum(r["n"] for r in tasks) / 4, sorted(r["n"] for r in tasks)
+
+
+def test_average_ranks_equal_the_window_and_need_no_task_for_a_group(spark):
+    rng = random.Random(7)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([None, float("nan"), -0.0, *map(float, range(30))])) for i in range(900)]
+    df = spark.createDataFrame(data, "i int, k string, v double")
+    got = windows.averaged_rank(df, "v", "k", ranges=8)
+    want = df.select("i", windows.percentrank("v", "k").alias("w"))
+    both = got.join(want, "i").collect()
+    assert len(both) == 900 and all(r["percentrank"] == pytest.approx(r["w"]) if r["w"] is not None else r["percentrank"] is None for r in both)
+    alone = windows.averaged_rank(df, "v").join(df.select("i", windows.percentrank("v").alias("w")), "i").filter("not percentrank <=> w").count()
+    assert alone == 0 and "rank(" not in plan(got)
