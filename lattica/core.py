@@ -220,6 +220,11 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], few: int
     return out
 
 
+def dealt_by(df: DataFrame, keys: Sequence[str], rows: int, share: int = 500_000) -> DataFrame:
+    """``df`` in tasks of some ``share`` of its ``rows``, equal keys together, so that aggregates and sorts by key hold no more."""
+    return df.repartition(-(-rows // share), *map(quoted, keys)) if rows > share else df
+
+
 def clean_names(names: Sequence[str], method: str = "unique") -> list[str]:
     """Names in lower case with underscores, made unique with _1, _2 (``universal``: also syntactic; ``minimal``: as they are)."""
     import re

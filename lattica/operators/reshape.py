@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.core import Names, batch_only, one_col, order_columns, quoted, resolve_cols
+from lattica.core import Names, batch_only, dealt_by, one_col, order_columns, quoted, resolve_cols
 from lattica.operators.groups import aggregated
 
 
@@ -32,16 +32,19 @@ def tolong(df: DataFrame, cols: Names, names: str = "variable", values: str = "v
 def towide(df: DataFrame, names: str, values: str, idcols: Names | None = None, fun: str | Callable | None = None, fill=None, levels: Sequence | None = None) -> DataFrame:
     """A column for each value of ``names``; cells are counts unless ``fun`` is given, and ``fill`` where there are no rows.
 
-    ``levels`` names the columns in advance, which saves a job that looks for them.
+    ``levels`` names the columns in advance, which saves a job that looks for them (and counts the rows, as many are
+    dealt out by ``idcols`` first: no task then aggregates more than its share).
     """
     name, value = one_col(df, names, "names"), one_col(df, values, "values")
     ids = [c for c in df.columns if c not in (name, value)] if idcols is None else resolve_cols(df, idcols)
     cell = F.count(F.lit(1)) if fun is None else aggregated(quoted(value), fun, True)
     present = "\x00present"
     if levels is None:
-        levels = [r[0] for r in df.select(quoted(name)).distinct().orderBy(quoted(name)).limit(10_001).collect()]
+        found = df.groupBy(quoted(name)).agg(F.count(F.lit(1)).alias(present)).orderBy(quoted(name)).limit(10_001).collect()
+        levels = [r[0] for r in found]
         if len(levels) > 10_000:
             raise ValueError("more than 10,000 columns.")
+        df = dealt_by(df, ids, sum(r[1] for r in found)) if ids else df
     wide = df.groupBy(*map(quoted, ids)).pivot(name, list(levels)).agg(cell.alias("v"), F.count(F.lit(1)).alias(present))
     label = lambda v: "null" if v is None else str(v)
     cells = [F.when(quoted(f"{label(v)}_{present}").isNotNull(), quoted(f"{label(v)}_v")).otherwise(F.lit(fill)).alias("NA" if v is None else str(v)) for v in levels]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.core import with_row_id
+from lattica.core import dealt_by, with_row_id
 from lattica.functions import dates, listops, numeric, parsing, recode, rowwise, text, windows
 from lattica.operators import checks, eda, groups, joins, reshape, rows, sets, verbs
 from lattica.sources import read_table
@@ -286,7 +286,7 @@ add("tolong", lambda t: reshape.tolong(t.lineitem.select("l_orderkey", "l_linenu
 add("towide", lambda t: reshape.towide(t.orders, "o_orderstatus", "o_orderkey", "o_orderpriority"), "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O, count(*) FILTER (o_orderstatus = 'P') AS P FROM orders GROUP BY ALL")
 add("towide_max", lambda t: reshape.towide(t.orders, "o_orderstatus", "o_orderkey", "o_custkey", "max", -1), "SELECT o_custkey, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'F'), -1) AS F, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'O'), -1) AS O, coalesce(max(o_orderkey) FILTER (o_orderstatus = 'P'), -1) AS P FROM orders GROUP BY ALL")
 add("reshape_long", lambda t: reshape.reshape(t.customer.select("c_custkey", "c_nationkey", "c_acctbal"), "long", idvar="c_custkey", timevar="time", v_names="v", varying=["c_nationkey", "c_acctbal"]), "SELECT c_custkey, 1 AS time, CAST(c_nationkey AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, 2, c_acctbal FROM customer")
-add("reshape_wide", lambda t: reshape.reshape(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")), "wide", idvar="l_orderkey", timevar="l_linenumber", v_names="q"), "SELECT l_orderkey, " + ", ".join(f'max(l_quantity) FILTER (l_linenumber = {i}) AS "q.{i}"' for i in range(1, 8)) + " FROM lineitem GROUP BY ALL")
+add("reshape_wide", lambda t: reshape.reshape(dealt_by(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey"], t.lineitem.count()).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q")), "wide", idvar="l_orderkey", timevar="l_linenumber", v_names="q"), "SELECT l_orderkey, " + ", ".join(f'max(l_quantity) FILTER (l_linenumber = {i}) AS "q.{i}"' for i in range(1, 8)) + " FROM lineitem GROUP BY ALL")
 add("stack", lambda t: reshape.stack(t.part, ["p_size", "p_retailprice"]), "SELECT CAST(p_size AS DOUBLE) AS values, 'p_size' AS ind FROM part UNION ALL SELECT p_retailprice, 'p_retailprice' FROM part")
 add("unstack", lambda t: reshape.unstack(t.nation, "n_name", "n_regionkey", order="n_nationkey"), "SELECT " + ", ".join(f'max(n_name) FILTER (n_regionkey = {i}) AS "{i}"' for i in range(5)) + " FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) GROUP BY k")
 add("transpose", lambda t: reshape.transpose(t.region, order="r_regionkey"), 'SELECT max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 0) AS "V1", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 1) AS "V2", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 2) AS "V3", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 3) AS "V4", max(CAST(r_regionkey AS VARCHAR)) FILTER (r_regionkey = 4) AS "V5" FROM region UNION ALL SELECT max(r_name) FILTER (r_regionkey = 0), max(r_name) FILTER (r_regionkey = 1), max(r_name) FILTER (r_regionkey = 2), max(r_name) FILTER (r_regionkey = 3), max(r_name) FILTER (r_regionkey = 4) FROM region')

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.core import exact_quantiles, with_row_id
 from lattica.functions import text, windows
-from lattica.operators import groups, joins, rows
+from lattica.operators import groups, joins, reshape, rows
 
 
 def plan(df):
@@ -146,3 +146,11 @@ def test_average_ranks_equal_the_window_and_need_no_task_for_a_group(spark):
     assert len(both) == 900 and all(r["percentrank"] == pytest.approx(r["w"]) if r["w"] is not None else r["percentrank"] is None for r in both)
     alone = windows.averaged_rank(df, "v").join(df.select("i", windows.percentrank("v").alias("w")), "i").filter("not percentrank <=> w").count()
     assert alone == 0 and "rank(" not in plan(got)
+
+
+def test_wide_form_of_many_rows_is_dealt_by_key(spark):
+    df = spark.range(1_200_000).select((F.col("id") / 4).cast("long").alias("k"), (F.col("id") % 4).alias("t"), F.col("id").alias("v")).coalesce(1)
+    wide = reshape.towide(df, "t", "v", "k", "first")
+    assert "REPARTITION_BY_NUM" in plan(wide)
+    sums = wide.agg(F.count(F.lit(1)), *(F.sum(str(i)) for i in range(4))).first()
+    assert list(sums) == [300_000, *(sum(range(i, 1_200_000, 4)) for i in range(4))]
