@@ -269,7 +269,7 @@ def _in_bins(x: DataFrame, y: DataFrame, keys: list[tuple[str, str]], spans: tup
     """
     sx, ex, sy, ey = spans
     number = lambda df, c: F.nanvl(_as_number(quoted(c), df.schema[c].dataType), F.lit(float("inf")))  # noqa: E731  NaN is the largest number
-    exponent = lambda length: F.least(F.ceil(F.log2(F.when(length > 0, length))), F.lit(1100)).cast("int")  # noqa: E731  endless ones lie in one bin
+    exponent = lambda length: F.when(length > 0, F.least(F.ceil(F.log2(length)), F.lit(1100))).cast("int")  # noqa: E731  endless ones lie in one bin
     lengths = number(x, ex) - number(x, sx), number(y, ey) - number(y, sy)
     mean, of_x, m = x.agg(F.avg(F.when((lengths[0] >= 0) & (lengths[0] < float("inf")), lengths[0])), F.collect_set(exponent(lengths[0])), F.count(F.lit(1))).first()  # as many as powers of two
     other, of_y, n = y.agg(F.avg(F.when((lengths[1] >= 0) & (lengths[1] < float("inf")), lengths[1])), F.collect_set(exponent(lengths[1])), F.count(F.lit(1))).first()

@@ -154,3 +154,12 @@ def test_wide_form_of_many_rows_is_dealt_by_key(spark):
     assert "REPARTITION_BY_NUM" in plan(wide)
     sums = wide.agg(F.count(F.lit(1)), *(F.sum(str(i)) for i in range(4))).first()
     assert list(sums) == [300_000, *(sum(range(i, 1_200_000, 4)) for i in range(4))]
+
+
+def test_short_intervals_do_not_meet_in_the_bins_of_long_ones(spark):
+    x = spark.range(2000).select(F.col("id").cast("double").alias("s"), F.when(F.col("id") % 500 == 0, F.col("id") + 1500.0).otherwise(F.col("id") + 1.0).alias("e"))
+    y = spark.range(2000).select(F.col("id").cast("double").alias("p"))
+    left, right, on, *_ = joins._in_bins(x, y, [], ("s", "e", "p", "p"), None)
+    met = left.join(right, joins.all_of(F.col(a) == F.col(b) for a, b in on)).count()
+    matches = joins.overlapmerge(x, y, "s", "e", "p", "p").count()
+    assert met < 6 * matches
